@@ -177,3 +177,16 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(length) - length
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(start, np.int64) - first, length)
+
+
+def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w neighbours."""
+    n = len(a) - w + 1
+    if n <= 0:
+        return a[:0]
+    grid = np.full(-(-len(a) // w) * w, np.iinfo(a.dtype).max, a.dtype)
+    grid[: len(a)] = a
+    grid = grid.reshape(-1, w)
+    left = np.minimum.accumulate(grid, axis=1).ravel()
+    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:n], left[w - 1 : w - 1 + n])

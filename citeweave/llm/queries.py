@@ -5,12 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, simhash
+from . import decontaminate, licenses, lm, passages, pieces, quality, sharding, simhash, suffix, warc
 from .common import table
 
 SHARDS = 24
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that a document shares with another."""
+    return passages.passages(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds, with the best place."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to the text that was read."""
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", "ids", (F.crc32(F.encode("decoded", "UTF-8")) == F.col("text_crc32")).alias("decoded_ok"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     records = sharding.sized(table(spark, sf_dir, "documents"))
@@ -19,6 +40,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and model score of every document."""
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metadata and a conversion record for every page."""
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -32,9 +63,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document under 400-byte strings that come twice."""
+    out = suffix.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_license_scan": op2_license_scan,
+    "op3_decontamination": op3_decontamination,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_sharding": op5_sharding,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
