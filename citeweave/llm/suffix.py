@@ -1,8 +1,8 @@
 """Operator 10, suffix-array dedup: every byte under a string of `width` bytes that starts at two places or more goes.
 
 1. Windows of `width` bytes are put together by the least hash of their 50-byte strings: equal windows have equal least
-   hashes, so windows whose least hash comes once in the corpus are unique and are dropped at this point. Neighbouring
-   windows with the same least hash make a segment. A segment is known by a hash of its bytes; equal segments (copies)
+   hashes, so windows whose least hash stands at one place of the corpus only are unique and are dropped at this
+   point. Neighbouring windows with the least hash at the same place make a segment. A segment is known by a hash of its bytes; equal segments (copies)
    are counted, and one of them stands for all.
 2. Where different segments meet under one hash, their bytes are cut out of the texts and dealt to shards by that hash.
    A shard's suffix array is refined by Larsson and Sadakane's method in numpy: suffixes are ranked by their first bytes
@@ -33,6 +33,8 @@ WIDTH, SEED_BYTES = 400, 50
 SHARD_BYTES, CROWD_BYTES = 1 << 20, 8 << 20
 #: Ranges into which a split hash's windows are cut for merging.
 BANDS = 16
+#: Bits of a hash that give way to its place where hashes are compared.
+LOW = np.uint64((1 << 32) - 1)
 
 
 # --- numpy ------------------------------------------------------------------------------------
@@ -145,7 +147,9 @@ def _segments(width: int, seed_bytes: int):
                 continue
             sums = prefix_hash(t.buf)
             i = np.arange(n - seed_bytes + 1)
-            least = sliding_min(span_hash(sums, i, i + seed_bytes), width - seed_bytes + 1)
+            h = span_hash(sums, i, i + seed_bytes)
+            # the first place of the least hash in each window
+            least = (sliding_min((h & ~LOW) | i.astype(np.uint64), width - seed_bytes + 1) & LOW).astype(np.int64)
             valid = np.zeros(len(least) + 1, np.int32)
             long = t.end - t.start >= width
             np.add.at(valid, t.start[long], 1)
@@ -160,7 +164,7 @@ def _segments(width: int, seed_bytes: int):
             doc = np.searchsorted(t.end, start)
             stop = np.minimum(np.append(start[1:], n), t.end[doc] - width + 1)
             ids = [part.column(part.schema.get_field_index(c)).take(pa.array(doc)) for c in ("k1", "k2")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(start - t.start[doc]), pa.array(stop - start), pa.array(least[start].view(np.int64)), pa.array(span_hash(sums, start, stop + width - 1).view(np.int64))], names=["k1", "k2", "start", "n", "h", "seg"])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(start - t.start[doc]), pa.array(stop - start), pa.array(h[least[start]].view(np.int64)), pa.array(span_hash(sums, start, stop + width - 1).view(np.int64))], names=["k1", "k2", "start", "n", "h", "seg"])
 
     return run
 
