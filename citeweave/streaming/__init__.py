@@ -1,0 +1,5 @@
+"""Structured Streaming: the stateless transforms over micro-batches."""
+
+from citeweave.plans.engine import process_stream
+
+__all__ = ["process_stream"]
