@@ -26,13 +26,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, mix, prefix_hash, ragged, slices, span_hash
+from .common import Texts, prefix_hash, ragged, slices, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a space within pieces, and of a literal U+2581, which no piece has.
 SPACE, LITERAL = 0x2581, 0x110000
 #: Longest word that is advanced with others, words that a task keeps encoded, and the score of a byte over the least of a piece.
-BATCHED, CACHED, BYTE = 64, 300_000, -10.0
+BATCHED, CACHED, BYTE = 64, 120_000, -10.0
 _MULT = 0x9E3779B97F4A7C15 | 1
 
 
@@ -53,7 +53,7 @@ class Vocabulary:
     scores: np.ndarray
     normal: np.ndarray
     byte_ids: np.ndarray
-    tables: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
@@ -74,15 +74,15 @@ class Vocabulary:
             points = np.frombuffer("".join(pieces[i] for i in ids).encode("utf-32-le"), np.uint32).reshape(len(ids), size)
             keys = own._hash(points, 0, size)
             order = np.argsort(keys)
-            own.tables[size] = (keys[order], np.array(ids, np.int32)[order])
+            seen = np.zeros(1 << 16, bool)
+            seen[keys >> np.uint64(48)] = True
+            own.tables[size] = (keys[order], np.array(ids, np.int32)[order], seen)
         return own
 
     @staticmethod
     def _hash(points: np.ndarray, a: int, b: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            p = _powers(points.shape[1] + 1)[0]
-            h = ((points[:, a:b].astype(np.uint64) + np.uint64(1)) * p[: b - a]).sum(axis=1, dtype=np.uint64)
-            return mix(h + np.uint64(b - a))
+            return ((points[:, a:b].astype(np.uint64) + np.uint64(1)) * _powers(points.shape[1] + 1)[0][: b - a]).sum(axis=1, dtype=np.uint64)
 
     def __post_init__(self):
         self.longest = max((len(p) for p, x in zip(self.pieces, self.normal) if x), default=1)
@@ -96,8 +96,11 @@ class Vocabulary:
 
     # --- encoding
 
-    def _batch(self, points: np.ndarray) -> list[np.ndarray]:
-        """Tokens of words of one length; a character without a piece is given as -1 - its code point."""
+    def _batch(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words of one length, one word after another, and each word's number of tokens.
+
+        A character without a piece is given as -1 - its code point.
+        """
         n, length = points.shape
         with np.errstate(over="ignore"):
             power, inverse = _powers(length + 1)
@@ -112,13 +115,15 @@ class Vocabulary:
                 for size in range(min(j, self.longest), 0, -1):
                     if size not in self.tables:
                         continue
-                    keys, ids = self.tables[size]
-                    h = mix((sums[j] - sums[j - size]) * inverse[j - size] + np.uint64(size))
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = np.flatnonzero(keys[at] == h)
+                    keys, ids, seen = self.tables[size]
+                    h = (sums[j] - sums[j - size]) * inverse[j - size]
+                    hit = np.flatnonzero(seen[h >> np.uint64(48)])
                     if not len(hit):
                         continue
-                    found = ids[at[hit]]
+                    h = h[hit]
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    same = keys[at] == h
+                    hit, found = hit[same], ids[at[same]]
                     total = best[j - size, hit] + self.scores[found]
                     better = total > best[j, hit]
                     hit, found = hit[better], found[better]
@@ -132,7 +137,7 @@ class Vocabulary:
             count[who] += 1
             at[who] -= back[at[who], who]
             who = who[at[who] > 0]
-        return [out[i, length - c :] for i, c in enumerate(count.tolist())]
+        return out[np.arange(length) >= length - count[:, None]], count
 
     def _long(self, points: list[int]) -> np.ndarray:
         """The same for one long word."""
@@ -153,58 +158,96 @@ class Vocabulary:
             j -= back[j]
         return np.array(out[::-1], np.int64)
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word (its UTF-8, with spaces as they are)."""
-        points, by_length = [], {}
-        for k, w in enumerate(words):
-            p = np.frombuffer(w.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-            if not w.isascii() and (p == SPACE).any():
-                p = np.where(p == SPACE, LITERAL, p)
-            points.append(np.where(p == 32, SPACE, p))
-            by_length.setdefault(len(p), []).append(k)
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-        for length, own in by_length.items():
-            if not length:
+    def _bytes(self, tokens: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece as the tokens of their bytes."""
+        missing = np.flatnonzero(tokens < 0)
+        if not len(missing):
+            return tokens, count
+        codes, which = np.unique(-1 - tokens[missing], return_inverse=True)
+        data = [("▁" if c == LITERAL else chr(c)).encode("utf-8", "surrogatepass") for c in codes.tolist()]
+        times = np.ones(len(tokens), np.int64)
+        times[missing] = np.array([len(x) for x in data])[which]
+        out = np.repeat(tokens, times)
+        first = (np.cumsum(times) - times)[missing]
+        for k, x in enumerate(data):
+            for j, i in enumerate(self.byte_ids[list(x)].tolist()):
+                out[first[which == k] + j] = i
+        return out, np.bincount(np.repeat(np.arange(len(count)), count), weights=times, minlength=len(count)).astype(np.int64)
+
+    def encode_points(self, points: np.ndarray, start: np.ndarray, length: np.ndarray, spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words given as stretches of code points, one word after another, and each word's number of ids.
+
+        spaced: with a space in front of each.
+        """
+        points = points.astype(np.uint32)
+        points[points == SPACE] = LITERAL
+        points[points == 32] = SPACE
+        order, parts = np.argsort(length, kind="stable"), []
+        edges = np.flatnonzero(np.diff(length[order])) + 1
+        for rows in np.split(order, edges) if len(order) else []:
+            n = int(length[rows[0]])
+            if n + spaced > BATCHED:
+                for r in rows.tolist():
+                    own = self._long([SPACE] * spaced + points[start[r] : start[r] + n].tolist())
+                    parts.append((np.array([r]), *self._bytes(own, np.array([len(own)]))))
                 continue
-            if length > BATCHED:
-                for k in own:
-                    out[k] = self._long(points[k].tolist())
+            if not n + spaced:
                 continue
-            for a in range(0, len(own), 20_000):
-                some = own[a : a + 20_000]
-                for k, ids in zip(some, self._batch(np.stack([points[k] for k in some]))):
-                    out[k] = ids
-        for k, ids in enumerate(out):
-            if len(ids) and ids.min() < 0:
-                full = []
-                for i in ids.tolist():
-                    full += [i] if i >= 0 else self.byte_ids[list(("▁" if -1 - i == LITERAL else chr(-1 - i)).encode("utf-8", "surrogatepass"))].tolist()
-                out[k] = np.array(full, np.int64)
-        return out
+            for a in range(0, len(rows), 20_000):
+                some = rows[a : a + 20_000]
+                grid = points[start[some][:, None] + np.arange(n)]
+                if spaced:
+                    grid = np.concatenate([np.full((len(some), 1), SPACE, np.uint32), grid], axis=1)
+                parts.append((some, *self._bytes(*self._batch(grid))))
+        size = np.zeros(len(start), np.int64)
+        for rows, _, count in parts:
+            size[rows] = count
+        at, out = np.cumsum(size) - size, np.zeros(int(size.sum()), np.int32)
+        for rows, ids, count in parts:
+            out[ragged(at[rows], count)] = ids
+        return out, size
+
+    def encode_words(self, words: list[bytes], spaced: bool = False) -> list[np.ndarray]:
+        """Ids of each word (its UTF-8, with spaces as they are)."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        length = np.array([len(t) for t in texts], np.int64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids, size = self.encode_points(points, np.cumsum(length) - length, length, spaced)
+        return np.split(ids, np.cumsum(size)[:-1]) if words else []
+
+
+class Characters:
+    """Code points of a slice of texts, and which of them begins at or behind each byte."""
+
+    def __init__(self, t: Texts):
+        self.points = np.frombuffer(t.buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.at = np.zeros(len(t.buf) + 1, np.int64)
+        np.cumsum((t.buf & 0xC0) != 0x80, out=self.at[1:])
 
 
 class Encoder:
     """Encodes words by their hashes; keeps those seen, up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, spaced: bool = False):
+        self.vocabulary, self.spaced = vocabulary, spaced
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[int, int] = {}
         self.ids, self.at, self.size, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def words(self, hashes: np.ndarray, get) -> np.ndarray:
-        """The number of each word (distinct hashes), valid until the next call; get(k): the bytes of word k."""
+    def words(self, hashes: np.ndarray, chars: Characters, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each word (distinct hashes, with a place of each in bytes), valid until the next call."""
         if len(self.known) + len(hashes) > CACHED:
             self._clear()
         listed = hashes.tolist()
-        number = np.array([self.known.get(h, -1) for h in listed], np.int64)
+        get = self.known.get
+        number = np.array([get(h, -1) for h in listed], np.int64)
         new = np.flatnonzero(number < 0)
         if len(new):
-            got = self.vocabulary.encode_words([get(k) for k in new.tolist()])
-            size = np.array([len(x) for x in got], np.int64)
-            flat, n = np.concatenate(got).astype(np.int32), len(self.known)
+            first = chars.at[start[new]]
+            flat, size = self.vocabulary.encode_points(chars.points, first, chars.at[end[new]] - first, self.spaced)
+            n = len(self.known)
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while n + len(new) > len(self.at):
@@ -245,7 +288,7 @@ def _encode(vocabulary: Broadcast):
             full = (t.end - t.start > 1)[doc]  # an empty text has no ids
             start, end, doc = start[full], end[full], doc[full]
             hashes, where, back = np.unique(span_hash(prefix_hash(t.buf), start, end), return_index=True, return_inverse=True)
-            number = encoder.words(hashes, lambda k: t.buf[start[where[k]] : end[where[k]]].tobytes())[back]
+            number = encoder.words(hashes, Characters(t), start[where], end[where])[back]
             size = encoder.size[number]
             ids = encoder.ids[ragged(encoder.at[number], size)]
             count = np.bincount(doc, weights=size, minlength=t.n).astype(np.int64)
