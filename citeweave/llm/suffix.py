@@ -290,7 +290,8 @@ def removals(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES
     seed = min(SEED_BYTES, width)
     names = keyed(docs).filter(F.octet_length("text") >= width)
     found = stored(names.select("k1", "k2", F.col("text").alias("_text")).mapInArrow(_segments(width, seed), "k1 long, k2 int, start long, n long, h long, seg long"), "segments")
-    often = found.groupBy("h").count().filter("count > 1").select("h")
+    # stored, so that both sides of the join are exchanges that Spark can split where a hash is hot
+    often = stored(found.groupBy("h").count().filter("count > 1").select("h"), "often")
     places = stored(found.join(often, "h"), "places")
     distinct = stored(places.groupBy("h", "seg", "n").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start")).alias("x")), "distinct")
     meet = distinct.groupBy("h").agg(F.count("*").alias("d"), F.sum(F.col("n") + width - 1).alias("bytes")).filter("d > 1")
