@@ -84,3 +84,36 @@ def cluster_votes(facts: DataFrame) -> DataFrame:
 def csv_lines(facts: DataFrame, columns: list[str]) -> DataFrame:
     """line: the quoted cells of each row."""
     return facts.select(F.concat_ws(",", *(T.csv_cell(F.col(c)) for c in columns)).alias("line"))
+
+
+# --- reports as lines: (part, place, line); sorted by the first two they are the file -----------------------------------
+
+REPORT = ["original", "formatted", "confidence", "page", "chapter_name", "verse", "verse_count", "correction_type", "needs_review"]
+
+
+def csv_report(facts: DataFrame, columns: list[str] = REPORT) -> DataFrame:
+    """Header, then the rows; every cell quoted. The file begins with a byte order mark and has CRLF between lines."""
+    rows = facts.select(F.lit(1).alias("part"), F.col("row_index").alias("r"), F.col("start").cast("long").alias("s"), F.concat_ws(",", *(T.csv_cell(F.col(c)) for c in columns)).alias("line"))
+    head = facts.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(None).cast(facts.schema["row_index"].dataType).alias("r"), F.lit(None).cast("long").alias("s"), F.lit("﻿" + ",".join(f'"{c}"' for c in columns)).alias("line"))
+    return head.unionByName(rows)
+
+
+def json_report(facts: DataFrame, columns: list[str] = REPORT) -> DataFrame:
+    """A summary object, then one object a row."""
+    rows = facts.select(F.lit(1).alias("part"), F.col("row_index").alias("r"), F.col("start").cast("long").alias("s"), F.to_json(F.struct(*columns)).alias("line"))
+    total = statistics(facts).select(F.lit(0).alias("part"), F.lit(None).cast(facts.schema["row_index"].dataType).alias("r"), F.lit(None).cast("long").alias("s"), F.to_json(F.struct("replacements", "verses", F.col("average_confidence").alias("averageConfidence"), F.col("low").alias("lowConfidence"))).alias("line"))
+    return total.unionByName(rows)
+
+
+def html_report(facts: DataFrame, columns: list[str] = REPORT[:7], title: str = "Report") -> DataFrame:
+    """A page of its own, written from right to left, with all cells escaped."""
+    rows = facts.select(F.lit(1).alias("part"), F.col("row_index").alias("r"), F.col("start").cast("long").alias("s"), F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), T.escaped_html(F.col(c).cast("string")), F.lit("</td>")) for c in columns), F.lit("</tr>")).alias("line"))
+    spark, none = facts.sparkSession, [F.lit(None).cast(facts.schema["row_index"].dataType).alias("r"), F.lit(None).cast("long").alias("s")]
+    head = f'<!DOCTYPE html><html dir="rtl"><head><meta charset="utf-8"><title>{title}</title></head><body><table><tr>{"".join(f"<th>{c}</th>" for c in columns)}</tr>'
+    ends = spark.range(1).select(F.lit(0).alias("part"), *none, F.lit(head).alias("line")).unionByName(spark.range(1).select(F.lit(2).alias("part"), *none, F.lit("</table></body></html>").alias("line")))
+    return ends.unionByName(rows)
+
+
+def write_report(lines: DataFrame, path: str, separator: str = "\n") -> None:
+    """One text file in order: a report is one document, so its last step is one sorted task."""
+    lines.orderBy("part", "r", "s").select("line").coalesce(1).write.option("lineSep", separator).text(path)

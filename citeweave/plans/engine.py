@@ -123,6 +123,7 @@ def process(rows: DataFrame, corpus: DataFrame, cfg: Config = Config(), ident: s
     return out.withColumn("modified_text", F.when(F.col("_reps").isNull(), F.col(text)).otherwise(render.spliced(F.col(text), F.col("_reps")))).withColumn("n_replacements", F.coalesce(F.size("_reps"), F.lit(0))).withColumns(zero).drop("_reps")
 
 
-def process_stream(stream: DataFrame, corpus: DataFrame, path: str, checkpoint: str, cfg: Config = Config(), **names):
+def process_stream(stream: DataFrame, corpus: DataFrame, path: str, checkpoint: str, cfg: Config = Config(), trigger: dict | None = None, **names):
     """A streaming query that runs the same batch transform over each micro-batch and appends Parquet to path."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: process(df, corpus, cfg, **names).write.mode("append").parquet(path)).start()
+    out = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"}))
+    return out.foreachBatch(lambda df, _: process(df, corpus, cfg, **names).write.mode("append").parquet(path)).start()

@@ -446,6 +446,17 @@ def quality_report(spark, sf):
     return labels.join(f, labels["doc_id"] == f["row_index"], "left").groupBy("quality").agg(F.countDistinct("doc_id").alias("docs"), F.count("row_index").alias("replacements"))
 
 
+@query(f"""WITH {FACTS} SELECT 1 AS part, row_index AS r, start AS s, '<tr><td>' || replace(replace(replace(replace(replace(replace(original, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;'), '`', '&#96;') || '</td><td>' || confidence || '</td></tr>' AS line FROM facts""")
+def html_rows(spark, sf):
+    out = review.html_report(_sentence_facts(spark, sf), ["original", "confidence"])
+    return out.filter("part = 1")
+
+
+@query(f"""WITH {FACTS} SELECT 1 AS part, row_index AS r, start AS s, '{{"chapter":' || chapter || ',"confidence":' || confidence || ',"ambiguous":' || ambiguous || '}}' AS line FROM facts""")
+def json_rows(spark, sf):
+    return review.json_report(_sentence_facts(spark, sf), ["chapter", "confidence", "ambiguous"]).filter("part = 1")
+
+
 # --- documents --------------------------------------------------------------------------------
 
 

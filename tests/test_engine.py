@@ -89,3 +89,25 @@ def test_review(spark):
     s = review.statistics(f).first()
     assert (s.modified_rows, s.replacements, s.verses, s.single, s.multi, s.low, s.ambiguous, s.average_confidence) == (2, 3, 4, 2, 1, 1, 1, 88)
     assert review.paged(f, 2, [F.col("row_index"), F.col("start")], 2).count() == 1
+
+
+def test_reports(spark, tmp_path):
+    f = spark.createDataFrame([(2, 0, "a<b", 90), (1, 5, "=x", 70), (1, 0, None, 80)], "row_index int, start int, original string, confidence int").withColumns({"verse_count": F.lit(1), "ambiguous": F.lit(False)})
+    review.write_report(review.csv_report(f, ["original", "confidence"]), str(tmp_path / "c"), "\r\n")
+    data = next((tmp_path / "c").glob("part-*")).read_bytes().decode()
+    assert data == '﻿"original","confidence"\r\n"","80"\r\n"\'=x","70"\r\n"a<b","90"\r\n'
+    review.write_report(review.html_report(f, ["original"]), str(tmp_path / "h"))
+    page = next((tmp_path / "h").glob("part-*")).read_text()
+    assert page.startswith("<!DOCTYPE html>") and page.rstrip().endswith("</html>") and "<td>a&lt;b</td>" in page
+    lines = [r.line for r in review.json_report(f, ["original"]).orderBy("part", "r", "s").collect()]
+    assert lines[0] == '{"replacements":3,"verses":3,"averageConfidence":80,"lowConfidence":1}' and lines[3] == '{"original":"a<b"}'
+
+
+def test_stream(spark, corpus, tmp_path):
+    from citeweave.streaming import process_stream
+
+    spark.createDataFrame([("a", "(الحمد لله رب العالمين)"), ("b", "no")], "id string, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id string, text string").parquet(str(tmp_path / "in"))
+    process_stream(stream, corpus, str(tmp_path / "out"), str(tmp_path / "state"), trigger={"availableNow": True}).awaitTermination(180)
+    got = {r.id: r.n_replacements for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": 1, "b": 0}
