@@ -26,13 +26,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, prefix_hash, ragged, slices, span_hash
+from .common import Texts, prefix_hash, ragged, released, slices, small_batches, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a space within pieces, and of a literal U+2581, which no piece has.
 SPACE, LITERAL = 0x2581, 0x110000
 #: Longest word that is advanced with others, words that a task keeps encoded, and the score of a byte over the least of a piece.
-BATCHED, CACHED, BYTE = 64, 120_000, -10.0
+BATCHED, CACHED, BYTE = 64, 80_000, -10.0
 _MULT = 0x9E3779B97F4A7C15 | 1
 
 
@@ -262,6 +262,7 @@ class Encoder:
 
 
 def shipped(spark: SparkSession, path: str = MODEL) -> Broadcast:
+    small_batches(spark)
     return spark.sparkContext.broadcast(Vocabulary.load(path))
 
 
@@ -317,6 +318,7 @@ def _decode(vocabulary: Broadcast):
                 texts = [data[x + 1 : y].decode("utf-8", "replace") for x, y in pairwise(total.tolist())]  # without the dummy prefix
                 keep = [(part.column(i), f.name) for i, f in enumerate(part.schema) if f.name != "ids"]
                 yield pa.RecordBatch.from_arrays([*(c for c, _ in keep), listed, pa.array(texts, pa.string())], names=[*(n for _, n in keep), "ids", "decoded"])
+        released()
 
     return run
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, prefix_hash, slices, sliding_min, span_hash, stored
+from .common import Texts, prefix_hash, released, slices, sliding_min, span_hash, stored
 
 WIDTH, SEED_BYTES = 400, 50
 #: Bytes of a shard's suffix array, and bytes under one hash from which they are split over shards.
@@ -233,6 +233,7 @@ def _shard(width: int, shard_bytes: int):
                 size += len(r[4])
         if rows:
             yield from search(rows)
+        released()
 
     return run
 
