@@ -185,7 +185,11 @@ def deduplicated(docs: DataFrame, limit: int = 2, width: int = 5) -> DataFrame:
     found = near_duplicates(docs, limit, width)
     group = F.coalesce("component_id", F.lit(-1)), F.when(F.col("component_id").isNull(), F.col("fp"))
     best = found.groupBy(group[0].alias("g"), group[1].alias("h")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
-    keep = best.select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key")).distinct()
+    return rows_of(docs, best.select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key")).distinct())
+
+
+def rows_of(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row of docs, with its own columns, for each id and text hash (_id, _key) of keep."""
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_key"))
     same = rows["_id"].eqNullSafe(keep["_id"]) & (rows["_key"] == keep["_key"])
     once = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
