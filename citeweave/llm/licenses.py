@@ -3,7 +3,8 @@
 Texts and license templates are sequences of words. All rolling word k-grams of a text are hashed and joined with the
 positions of equal k-grams in the templates. A hit at text word p and template word q votes for the diagonal p - q: a
 template that stands in a text unchanged puts all its votes on one diagonal, and words added or lost in between shift
-the votes to neighbouring ones. Votes are summed per diagonal, neighbouring diagonals are merged, and the merged span is
+the votes to neighbouring ones. Votes are summed per diagonal; one with all of the template is a place as it stands, the
+other neighbouring diagonals are merged, and the merged span is
 verified: its k-grams are compared as text with the template's, and enough of the template has to be covered.
 
 The templates are a fixed list, so their k-grams are broadcast; a k-gram of a text that no template has is dropped in
@@ -119,11 +120,14 @@ def spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = spark.createDataFrame([(i, phrase, label, k, len(w)) for i, phrase, label, k, w in templates()], "template int, phrase boolean, label string, k int, length int")
     seen = votes(docs).join(F.broadcast(known), "template", "left")
-    by = Window.partitionBy("row", "template").orderBy("diagonal")
-    gap = F.when(F.col("phrase"), 1).otherwise(F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= SHIFT, 0).otherwise(1))
+    # a diagonal that has all of the template is a place of its own, and no part of a cluster
+    seen = seen.withColumn("full", F.coalesce(F.size("hit") == F.col("length") - F.col("k") + 1, F.lit(False)))
+    by = Window.partitionBy("row", "template", "full").orderBy("diagonal")
+    near = F.col("diagonal") - F.lag("diagonal").over(by) <= F.least(F.lit(SHIFT), F.col("length") - 1)
+    gap = F.when(F.col("phrase") | F.col("full"), 1).otherwise(F.when(near, 0).otherwise(1))
     merged = seen.withColumn("gap", F.coalesce(gap, F.lit(1))).withColumn("cluster", F.sum("gap").over(by))
     size = F.col("length")
-    found = merged.groupBy("row", "template", "cluster").agg(
+    found = merged.groupBy("row", "template", "full", "cluster").agg(
         *(F.first(c).alias(c) for c in ("doc_id", "n_words", "phrase", "label", "k", "length")),
         F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"),
         F.min(F.col("diagonal") + F.col("hit")[0]).alias("first"),
