@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, lm, passages, pieces, quality, sharding, simhash, suffix, warc
-from .common import table
+from .common import new_path, stored, table
 
 SHARDS = 24
 
@@ -33,10 +33,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 24 shards of near equal bytes."""
-    records = sharding.sized(table(spark, sf_dir, "documents"))
-    slot_map = sharding.first_map(sharding.slot_totals(records), SHARDS)
-    out = sharding.assign(records, slot_map)
+    """All documents in 24 shards of near equal bytes, by version 1 of a stored slot map."""
+    records = stored(sharding.sized(table(spark, sf_dir, "documents")), "records")
+    path = new_path(spark, "slot-map")
+    sharding.write_map(sharding.first_map(sharding.slot_totals(records), SHARDS), path)
+    out = sharding.assign(records, sharding.read_map(spark, path))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
 
 

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from citeweave.llm import components, decontaminate, licenses, lm, passages, pieces, quality, sharding, simhash, suffix, warc
+from citeweave.llm.common import stored
 
 SPACE = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -64,7 +65,7 @@ def by_row(rows, *columns):
 
 def test_sharding(data, empty):
     df, rows, *_ = data
-    records = sharding.sized(df)
+    records = stored(sharding.sized(df), "records")
     first = sharding.first_map(sharding.slot_totals(records), 5)
     out = sharding.assign(records, first).collect()
     assert len(out) == len(rows)
@@ -76,7 +77,15 @@ def test_sharding(data, empty):
     sizes = [sum(r.size for r in x) for x in shards.values()]
     biggest = max(r.size for r in out)
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= biggest
-    assert sharding.assign(sharding.sized(empty), sharding.first_map(sharding.slot_totals(sharding.sized(empty)), 3)).count() == 0
+    # rows that come later, many of them in slots that had none, and one row very often
+    later = stored(sharding.sized(df.sparkSession.range(400).select((F.col("id") % 300 + 900).alias("doc_id"), F.lit("later").alias("text")).union(df.sparkSession.range(500).select(F.lit(5).cast("long"), F.lit("same")))), "later")
+    out = sharding.assign(later, first).collect()
+    shards = collections.defaultdict(list)
+    for r in out:
+        shards[r.shard].append(r.slot)
+    assert len(out) == 900 and all(sorted(x) == list(range(len(x))) for x in shards.values())
+    none = stored(sharding.sized(empty), "records")
+    assert sharding.assign(none, sharding.first_map(sharding.slot_totals(none), 3)).count() == 0
 
 
 def test_rebalancing(spark, tmp_path):
@@ -88,6 +97,8 @@ def test_rebalancing(spark, tmp_path):
     sharding.write_map(sharding.rebalanced(first, totals, 6), str(tmp_path / "map"))
     old = {r.virtual_slot: r.shard for r in sharding.read_map(spark, str(tmp_path / "map"), 1).collect()}
     new = sharding.read_map(spark, str(tmp_path / "map")).collect()
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.write_map(first, str(tmp_path / "map"))
     assert {r.version for r in new} == {2} and {r.virtual_slot for r in new} == set(old)
     load = collections.Counter()
     for r in new:
