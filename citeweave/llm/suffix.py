@@ -9,8 +9,10 @@
    and, where ranks tie, by the rank of the suffix that many bytes further on. Common prefixes of neighbours carry over
    from one suffix to the next as in Kasai's algorithm. Neighbours that share `width` bytes are repeats.
 3. A hash under which very many bytes meet is split over several shards. Each hands on its sorted windows cut into
-   ranges, and for each range the shards' lists are merged by binary search.
-4. Repeats are mapped back to all places of their segments and united per document.
+   ranges, as many as keep a range's windows within a bound, and for each range the shards' lists are merged by binary
+   search. What is compared there are 64-bit hashes of whole windows.
+4. Repeats are mapped back to all places of their segments and united per document. Both sides of that join are stored
+   tables, so Spark splits it where very many places have one segment.
 
 Nulls: a null text is empty; a null doc_id stays. Repeated rows repeat each other, so their long strings go in each. A
 text shorter than `width` keeps all. An empty table gives no rows. Other columns are ignored.
@@ -31,8 +33,8 @@ from .common import Texts, prefix_hash, released, slices, sliding_min, span_hash
 WIDTH, SEED_BYTES = 400, 50
 #: Bytes of a shard's suffix array, and bytes under one hash from which they are split over shards.
 SHARD_BYTES, CROWD_BYTES = 1 << 20, 8 << 20
-#: Ranges into which a split hash's windows are cut for merging.
-BANDS = 16
+#: Window bytes of a split hash that are merged in one group: the more bytes meet, the more ranges they are cut into.
+BAND_BYTES = 1 << 20
 #: Bits of a hash that give way to its place where hashes are compared.
 LOW = np.uint64((1 << 32) - 1)
 
@@ -181,7 +183,7 @@ def _cut(width: int):
                 rows = slice(a, a + 4096)
                 cut = [data[w][s : s + k + width - 1] for w, s, k in zip(which[rows].tolist(), start[rows].tolist(), n[rows].tolist())]
                 y = x.slice(a, 4096)
-                yield pa.RecordBatch.from_arrays([y.field("h"), y.field("sub"), y.field("seg"), y.field("n"), pa.array(cut, pa.binary())], names=["h", "sub", "seg", "n", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(y.field(c) for c in ("h", "sub", "bands", "seg", "n")), pa.array(cut, pa.binary())], names=["h", "sub", "bands", "seg", "n", "bytes"])
 
     return run
 
@@ -195,26 +197,26 @@ def _shard(width: int, shard_bytes: int):
 
     def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         out = []
-        flags = repeated([r[4] for r in rows], width)
-        for (h, _, seg, n, _), flag in zip(rows, flags):
+        flags = repeated([r[5] for r in rows], width)
+        for (h, _, _, seg, n, _), flag in zip(rows, flags):
             for off, size in zip(*(x.tolist() for x in runs_of(flag))):
                 out.append((h, seg, n, off, size, None, None, None, None, None))
         split: dict[tuple, list[tuple[tuple, np.ndarray]]] = {}
         for r, flag in zip(rows, flags):
             if r[1] >= 0:
-                split.setdefault(r[:2], []).append((r, flag))
-        for (h, _), own in split.items():
+                split.setdefault(r[:3], []).append((r, flag))
+        for (h, _, bands), own in split.items():
             at, hashes = [], []
             for j, (r, _) in enumerate(own):
-                sums = prefix_hash(np.frombuffer(r[4], np.uint8))
-                i = np.arange(r[3])
+                sums = prefix_hash(np.frombuffer(r[5], np.uint8))
+                i = np.arange(r[4])
                 hashes.append(span_hash(sums, i, i + width))
-                at.append(np.stack([np.full(r[3], j), i], axis=1))
+                at.append(np.stack([np.full(r[4], j), i], axis=1))
             hashes, at = np.concatenate(hashes), np.concatenate(at)
             by = np.argsort(hashes, kind="stable")
             hashes, at = hashes[by], at[by]
-            edges = np.searchsorted(hashes, np.arange(1, BANDS, dtype=np.uint64) << np.uint64(60)).tolist()
-            segs, ns = np.array([r[2] for r, _ in own], np.int64), np.array([r[3] for r, _ in own], np.int64)
+            edges = np.searchsorted(hashes, np.array([(b << 64) // bands for b in range(1, bands)], np.uint64)).tolist()
+            segs, ns = np.array([r[3] for r, _ in own], np.int64), np.array([r[4] for r, _ in own], np.int64)
             for band, (a, b) in enumerate(zip([0, *edges], [*edges, len(hashes)])):
                 if b > a:
                     j = at[a:b, 0]
@@ -230,7 +232,7 @@ def _shard(width: int, shard_bytes: int):
                     yield from search(rows)
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[4])
+                size += len(r[5])
         if rows:
             yield from search(rows)
         released()
@@ -239,19 +241,33 @@ def _shard(width: int, shard_bytes: int):
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The lists of one h and band: windows of one list that a binary search finds in another."""
-    lists = [np.asarray(x, np.int64) for x in pdf["hashes"]]
+    """The sorted lists of one h and band: windows of one shard that a binary search finds in the list of another."""
+    lists = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["hashes"]]
+    # each list's own windows once, so that what stands twice here stands in two lists
+    every = np.sort(np.concatenate([np.unique(x) for x in lists]))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
     out = []
-    for i, own in enumerate(lists):
-        hit = np.zeros(len(own), bool)
-        for j, other in enumerate(lists):
-            if i != j:
-                at = np.minimum(np.searchsorted(other.view(np.uint64), own.view(np.uint64)), len(other) - 1)
-                hit |= other[at] == own
-        k = np.flatnonzero(hit)
-        r = pdf.iloc[i]
-        out.append(pd.DataFrame({"h": r["h"], "seg": np.asarray(r["segs"])[k], "n": np.asarray(r["ns"])[k], "off": np.asarray(r["offs"])[k], "len": 1}))
-    return pd.concat(out).astype("int64")
+    for own, r in zip(lists, pdf.itertuples()):
+        if len(twice):
+            k = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own)
+            out.append(pd.DataFrame({"h": r.h, "seg": np.asarray(r.segs)[k], "n": np.asarray(r.ns)[k], "off": np.asarray(r.offs)[k], "len": 1}))
+    return pd.concat(out).astype("int64") if out else pd.DataFrame(columns=["h", "seg", "n", "off", "len"], dtype="int64")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each segment, overlapping and touching ones as one; a segment has fewer windows than one is wide."""
+    for batch in batches:
+        rows = []
+        for own in batch.column("runs").to_pylist():
+            new = []
+            for a, size in sorted((x["off"], x["len"]) for x in own):
+                if new and a <= new[-1]["off"] + new[-1]["len"]:
+                    new[-1]["len"] = max(new[-1]["len"], a + size - new[-1]["off"])
+                else:
+                    new.append({"off": a, "len": size})
+            rows.append(new)
+        kind = pa.list_(pa.struct([("off", pa.int64()), ("len", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("seg"), batch.column("n"), pa.array(rows, kind)], names=["h", "seg", "n", "runs"])
 
 
 def _kept(width: int):
@@ -298,9 +314,10 @@ def removals(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES
     meet = distinct.groupBy("h").agg(F.count("*").alias("d"), F.sum(F.col("n") + width - 1).alias("bytes")).filter("d > 1")
     mixed = distinct.join(meet, "h")
     sub = F.when(F.col("bytes") <= crowd_bytes, -1).otherwise(F.pmod(F.xxhash64("seg"), F.ceil(F.col("bytes") / crowd_bytes))).cast("int")
-    want = mixed.select("x.*", "h", sub.alias("sub"), "seg", "n").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "h", "sub", "seg")).alias("want"))  # bounded by the text
+    bands = F.ceil(F.col("bytes") / BAND_BYTES).cast("int")
+    want = mixed.select("x.*", "h", sub.alias("sub"), bands.alias("bands"), "seg", "n").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "h", "sub", "bands", "seg")).alias("want"))  # bounded by the text
     total = mixed.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
-    cut = keyed(docs).join(want.hint("shuffle_hash"), ["k1", "k2"]).select("text", "want").mapInArrow(_cut(width), "h long, sub int, seg long, n long, bytes binary")
+    cut = keyed(docs).join(want.hint("shuffle_hash"), ["k1", "k2"]).select("text", "want").mapInArrow(_cut(width), "h long, sub int, bands int, seg long, n long, bytes binary")
     shards = max(1, -(-total // (4 * shard_bytes)))
     dealt = cut.repartition(shards, "h", "sub").sortWithinPartitions("h", "sub", "seg", "n")
     hits = stored(dealt.mapInArrow(_shard(width, shard_bytes), _FOUND), "repeats")
@@ -309,6 +326,7 @@ def removals(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES
     # a segment that comes twice is a repeat from end to end
     copies = distinct.filter("c > 1").select("h", "seg", "n", F.lit(0).cast("long").alias("off"), F.col("n").alias("len"))
     runs = runs.union(copies).groupBy("h", "seg", "n").agg(F.collect_set(F.struct("off", "len")).alias("runs"))  # bounded by the segment
+    runs = stored(runs.mapInArrow(_joined, "h long, seg long, n long, runs array<struct<off: long, len: long>>"), "runs")
     at = places.join(runs, ["h", "seg", "n"]).select("k1", "k2", "start", F.explode("runs").alias("r")).select("k1", "k2", (F.col("start") + F.col("r.off")).alias("a"), F.col("r.len").alias("size"))
     return at.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "size")).alias("spans"))  # bounded by the text
 

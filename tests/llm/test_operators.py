@@ -218,7 +218,8 @@ def test_plan_thresholds():
 
 
 @pytest.mark.parametrize("crowd", [8 << 20, 300])
-def test_suffix(data, empty, crowd):
+def test_suffix(data, empty, crowd, monkeypatch):
+    monkeypatch.setattr(suffix, "BAND_BYTES", 700)
     df, rows, *_ = data
     width = 60
     got = suffix.without_repeats(df, width, shard_bytes=2000, crowd_bytes=crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("s")).collect()
