@@ -1,13 +1,18 @@
 """Operator 9, quality rules with risk-controlled thresholds.
 
-Each rule compares one measure of a text with a cutoff. For each stratum (language) and rule, a ladder of cutoffs runs
-from the loosest to the strictest. On labelled good documents, an exact binomial test asks of each cutoff whether its
-false rejection rate can be said to lie under the rule's share of the allowed risk. The ladder is climbed while the
-tests succeed (a fixed sequence, which needs no correction), and Bonferroni shares the error among rules and strata.
-Of the proven cutoffs, the one that rejects most labelled bad documents for the good ones it costs is used, or none.
+Each rule compares one measure of a text with a cutoff. Labelled documents that pass the base rules are dealt to two
+folds by a hash of their id. On the first, a path of ever stricter filters is laid for each stratum (language): step by
+step, the cutoff that rejects most bad documents for the good ones it costs. On the second, the holdout, an exact
+binomial test asks of each filter of the path, taken as a whole, whether its rate of false rejection can be said to lie
+under the allowed risk. The path is walked while the tests succeed: a fixed sequence, which needs no correction, and as
+whole filters are tested, none among rules either. Bonferroni shares the error among the strata. The last proven filter
+is used, or none.
+
+A stratum whose holdout is too small to prove anything is pooled with the others of that kind, and so are languages
+beyond MOST and those without labels: all of them are one stratum, with one filter.
 
 Nulls: a null text has no words (base rules reject it), a null language is a stratum of its own, a null label and
-labels of unknown documents are ignored. Without labels no cutoff is proven, and only the base rules act. Repeated rows
+labels of unknown documents are ignored. Without labels nothing is proven, and only the base rules act. Repeated rows
 get a verdict each. Columns of the input are kept or dropped as a whole; none of them clashes with the measures.
 """
 
@@ -15,14 +20,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Texts, byte_set, counts, gram_hash, mix, prefix_hash, slices, span_hash
+from .common import NOT_SPACE, Texts, byte_set, counts, gram_hash, mix, prefix_hash, slices, span_hash, stored
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_marks", "n_distinct_words", "n_digits"]
@@ -30,7 +35,9 @@ SYMBOLS, UPPER, MARKS, DIGITS = byte_set(b"#*$%&|<>"), byte_set(bytes(range(65,
 WINDOW = 8
 
 #: Largest share of good documents that all rules together may reject in a stratum, and the error allowed for saying so.
-RISK, ERROR = 0.02, 0.05
+RISK, ERROR = 0.05, 0.05
+#: One of so many labelled documents lays the path, the others prove it. Strata of their own at most; the rest is pooled.
+FOLDS, MOST = 5, 256
 #: Labelled good documents that one rejected bad document may cost.
 COST = 0.2
 
@@ -123,59 +130,124 @@ def at_most(k: int, n: int, p: float) -> float:
     """Exact P(X <= k) of a binomial X."""
     if k >= n:
         return 1.0
-    ln = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(ln)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in ln))
-
-
-def _cutoffs(strata: int, risk: float, error: float, ladder: dict[str, list[float]]):
-    """For one stratum: rows (rule, step, quality, n), where step is the first cutoff that rejects the documents."""
-    share, level = risk / len(ladder), error / len(ladder) / max(1, strata)
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for rule, rows in pdf.groupby("rule"):
-            good, bad = np.zeros(len(ladder[rule]) + 1, np.int64), np.zeros(len(ladder[rule]) + 1, np.int64)
-            for step, quality, n in zip(rows.step, rows.quality, rows.n):
-                (good if quality == 1 else bad)[step] += n
-            total, best = int(good.sum()), (0.0, None)
-            for j, cut in enumerate(ladder[rule]):
-                lost, caught = int(good[: j + 1].sum()), int(bad[: j + 1].sum())
-                if not total or at_most(lost, total, share) > level:
-                    break  # the sequence ends at the first cutoff that isn't proven
-                if (gain := COST * caught - lost) > best[0]:
-                    best = (gain, cut)
-            out.append((key[0], rule, best[1]))
-        return pd.DataFrame(out, columns=["stratum", "rule", "cutoff"])
-
-    return fit
-
-
-def fitted(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The proven cutoffs: one row a stratum, one column a rule (null: none), in a column `cut`."""
-    ladder = {k: v[2] for k, v in rules().items()}
-    strata = docs.select(F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")).distinct().count()
-    known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
-    seen = measured(docs).join(known, "id").filter(~base_failed())
+    ln = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    mode = min(k, int(n * p))
+    top, terms = ln(mode), []
+    for i in range(k, -1, -1):
+        terms.append(math.exp(ln(i) - top))
+        if i <= mode and terms[-1] < 1e-20:
+            break  # what is left below is smaller still
+    return min(1.0, math.exp(top) * math.fsum(terms))
+
+
+def least_needed(risk: float, level: float) -> int:
+    """Good documents without one rejection that prove the risk."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+@dataclass
+class Cutoffs:
+    """For each stratum of its own, and for the rest, rule: cutoff. MOST strata at most."""
+
+    own: dict[str, dict[str, float]] = field(default_factory=dict)
+    rest: dict[str, float] = field(default_factory=dict)
+
+
+def _steps() -> Column:
+    """For each rule the first step of its ladder that rejects the document (the ladder's length: none)."""
     steps = []
     for name, (value, side, cuts) in rules().items():
         # cutoffs that don't reject come first on the ladder; so their number is the first step that does
-        step = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: (value <= c) if side > 0 else (value >= c)))
-        steps.append(F.struct(F.lit(name).alias("rule"), step.alias("step")))
-    found = seen.select("stratum", "quality", F.explode(F.array(*steps)).alias("x")).groupBy("stratum", "quality", "x.rule", "x.step").agg(F.count("*").alias("n"))
-    fit = found.groupBy("stratum").applyInPandas(_cutoffs(strata, risk, error, ladder), "stratum string, rule string, cutoff double")
-    return fit.groupBy("stratum").agg(F.struct(*(F.max(F.when(F.col("rule") == k, F.col("cutoff"))).alias(k) for k in ladder)).alias("cut"))
-
-
-def judged(measures: DataFrame, cutoffs: DataFrame) -> DataFrame:
+        steps.append(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: (value <= c) if side > 0 else (value >= c))).alias(name))
+    return F.struct(*steps)
+
+
+def _rejects(filters: dict[str, dict[str, int]]) -> Column:
+    """Whether the filter of the row's stratum (rule: step) rejects it."""
+    out = F.lit(False)
+    for stratum, steps in filters.items():
+        for rule, step in steps.items():
+            out = out | ((F.col("stratum") == stratum) & (F.col(f"steps.{rule}") <= step))
+    return out
+
+
+def _laid(seen: DataFrame) -> dict[str, list[dict[str, int]]]:
+    """The path of filters of each stratum, on the first fold. A job for each step; strata x rules x steps rows come back."""
+    ladder, path, now = {k: len(v[2]) for k, v in rules().items()}, {}, {}
+    for _ in ladder:
+        left = seen.filter("first").filter(~_rejects(now))
+        listed = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(f"steps.{k}").alias("step")) for k in ladder))).alias("x")
+        found = left.select("stratum", "quality", listed).groupBy("stratum", "x.rule", "x.step").agg(F.sum("quality").alias("good"), F.count("*").alias("n")).collect()
+        marks: dict[tuple[str, str], np.ndarray] = {}
+        for stratum, rule, step, good, n in found:
+            if step < ladder[rule]:
+                marks.setdefault((stratum, rule), np.zeros((2, ladder[rule]), np.int64))[:, step] = good, n - good
+        best: dict[str, tuple] = {}
+        for (stratum, rule), m in sorted(marks.items()):
+            if rule in now.get(stratum, {}):
+                continue  # each rule is set once
+            lost, caught = m.cumsum(axis=1)
+            gain = COST * caught - lost
+            top = np.flatnonzero(gain == gain.max())
+            run = top[: int(np.argmax(np.append(np.diff(top) > 1, True))) + 1]  # the first stretch of equal cutoffs: its middle
+            if gain.max() > best.get(stratum, (0,))[0]:
+                best[stratum] = (gain.max(), rule, int(run[len(run) // 2]))
+        if not best:
+            break
+        for stratum, (_, rule, step) in best.items():
+            now[stratum] = now.get(stratum, {}) | {rule: step}
+            path.setdefault(stratum, []).append(now[stratum])
+    return path
+
+
+def fitted(measures: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> Cutoffs:
+    """The proven cutoffs, from measures (stored: they are read again for each step of the path) and labels."""
+    known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("quality"))
+    first = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(FOLDS)) == 0
+    seen = measures.join(known, "id").filter(~base_failed()).select("stratum", "quality", first.alias("first"), _steps().alias("steps"))
+    seen = stored(seen, "labelled")
+    # strata that could prove something if each of the largest were tested, with one more for the rest
+    sizes = seen.filter("not first and quality = 1").groupBy("stratum").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stratum").limit(MOST).collect()
+    own: list[str] = []
+    for stratum, n in sizes:
+        if n >= least_needed(risk, error / (len(own) + 2)):
+            own.append(stratum)
+    level = error / (len(own) + 1)
+    rest = "\0"  # no language
+    seen = seen.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(rest))
+    path = _laid(seen)
+    longest = max(map(len, path.values()), default=0)
+    tests = [_rejects({s: p[i] for s, p in path.items() if i < len(p)}).cast("long") for i in range(longest)]
+    got = seen.filter("not first and quality = 1").groupBy("stratum").agg(F.count("*").alias("n"), F.array(*map(F.sum, tests)).alias("lost")).collect() if tests else []
+    out = Cutoffs({s: {} for s in own})
+    for stratum, n, lost in got:
+        proven: dict[str, int] = {}
+        for steps, k in zip(path.get(stratum, []), lost):
+            if k > n * risk or at_most(k, n, risk) > level:
+                break  # the sequence ends at the first filter that isn't proven
+            proven = steps
+        cuts = {rule: rules()[rule][2][step] for rule, step in proven.items()}
+        if stratum == rest:
+            out.rest = cuts
+        else:
+            out.own[stratum] = cuts
+    return out
+
+
+def judged(measures: DataFrame, cutoffs: Cutoffs) -> DataFrame:
     """The measures with base_failed and kept."""
+    names = list(rules())
+    kind = "stratum string, cut struct<" + ", ".join(f"{k}: double" for k in names) + ">"
+    listed = [(s, tuple(cuts.get(k) for k in names)) for s, cuts in cutoffs.own.items()]
+    own = measures.sparkSession.createDataFrame(listed, kind).withColumn("is_own", F.lit(True))  # MOST rows at most
     bad = F.lit(False)
     for name, (value, side, _) in rules().items():
-        cut = F.col(f"cut.{name}")
+        cut = F.when(F.col("is_own"), F.col(f"cut.{name}")).otherwise(F.lit(cutoffs.rest.get(name)).cast("double"))
         bad = bad | F.coalesce(value > cut if side > 0 else value < cut, F.lit(False))
-    return measures.join(cutoffs, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad)
+    return measures.join(F.broadcast(own), "stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    return judged(measured(docs, keep_rows=True), fitted(docs, labels)).filter("kept").select("row.*")
+    """The documents that the quality rules keep, with their own columns."""
+    cutoffs = fitted(stored(measured(docs), "measures"), labels)
+    return judged(measured(docs, keep_rows=True), cutoffs).filter("kept").select("row.*")

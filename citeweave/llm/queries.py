@@ -59,8 +59,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
-    docs = table(spark, sf_dir, "documents")
-    out = quality.judged(quality.measured(docs), quality.fitted(docs, table(spark, sf_dir, "labels")))
+    measures = stored(quality.measured(table(spark, sf_dir, "documents")), "measures")
+    out = quality.judged(measures, quality.fitted(measures, table(spark, sf_dir, "labels")))
     return out.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept")
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -137,7 +138,46 @@ def test_risk_control(spark):
     df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i < n), 0) for i in range(n + 200)], "doc_id long, quality int, toxic int")
     kept = {r.doc_id for r in quality.quality_filter(df, labels).select("doc_id").collect()}
-    assert not any(i >= n for i in kept) and n - len(kept) <= 0.02 * n
+    assert not any(i >= n for i in kept) and n - len(kept) <= quality.RISK * n
+    exact = sum(math.comb(900, i) * 0.05**i * 0.95 ** (900 - i) for i in range(31))
+    assert math.isclose(quality.at_most(30, 900, 0.05), exact, rel_tol=1e-9) and quality.least_needed(0.05, 0.0125) == 86
+
+
+def _ratios(t):
+    """The measures of the rules, anew."""
+    w, lines = re.findall(SPACE, t), [x for x in t.split("\n") if re.search(SPACE, x)]
+    chars, n = max(1, sum(map(len, w))), max(1, len(w))
+    seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    twice = len({j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)})
+    failed = len(w) < 20 or 100 * twice > 30 * len(w)
+    return failed, {
+        "symbols": len(re.findall(r"[#*$%&|<>]", t)) / chars, "dup_lines": (len(lines) - len(set(lines))) / max(1, len(lines)), "repeats": twice / n, "upper": len(re.findall("[A-Z]", t)) / chars,
+        "marks": len(re.findall("[!?.,;:]", t)) / n, "digits": len(re.findall("[0-9]", t)) / chars, "distinct": -len(set(w)) / n, "long_words": chars / n,
+    }
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_quality_on_given_tables(spark):
+    """Cutoffs are proven on the given labels; each verdict and the risk on the holdout agree with brute force."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    measures = stored(quality.measured(docs), "measures")
+    cuts = quality.fitted(measures, labels)
+    assert any(cuts.own.values()) and cuts.rest
+    got = {r.id: r.kept for r in quality.judged(measures, cuts).select("id", "kept").collect()}
+    known, lost = {r.doc_id: r.quality for r in labels.collect()}, collections.Counter()
+    for r in docs.collect():
+        failed, ratio = _ratios(r.text)
+        own = cuts.own.get(r.lang, cuts.rest)
+        beyond = any(ratio[k] > (-c if k == "distinct" else c) for k, c in own.items())
+        assert got[r.doc_id] == (not failed and not beyond)
+        if not failed and known.get(r.doc_id) == 1 and zlib.crc32(str(r.doc_id).encode()) % quality.FOLDS:
+            lost[r.lang if r.lang in cuts.own else "", beyond] += 1
+        if not failed and known.get(r.doc_id) == 0:
+            lost["bad", beyond] += 1
+    strata = {k for k, _ in lost if k != "bad"}
+    for k in strata:
+        assert quality.at_most(lost[k, True], lost[k, True] + lost[k, False], quality.RISK) <= quality.ERROR / len(strata)
+    assert lost["bad", True] > 5 * lost["bad", False]
 
 
 def brute_components(nodes, linked):
