@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Fixed for the life of a data set; the map has so many rows at most, so it may be broadcast and folded.
 SLOTS = 4096
 #: Groups that a slot's rows are counted in, by input partition.
-GROUPS = 64
+GROUPS = 16
 
 
 def slot_of(slots: int = SLOTS) -> Column:
