@@ -115,7 +115,7 @@ def near_token(a: Column, b: Column) -> Column:
 
 
 def arabic_digits(text: Column) -> Column:
-    return F.translate(text.cast("string"), ASCII_DIGITS, ARABIC_INDIC)
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), ASCII_DIGITS, ARABIC_INDIC)
 
 
 def clock(seconds: Column) -> Column:
@@ -160,6 +160,7 @@ def without_noise(text: Column) -> Column:
         core = F.regexp_replace(token, r"[^\p{L}\p{N}\p{M}…]+", "")
         return (core == "") | core.rlike(rf"^[{DIGITS}۰-۹]+$") | core.rlike(r"^[A-Za-z]{1,3}$")
 
+    text = F.coalesce(text, F.lit(""))
     kept = F.array_join(F.filter(F.split(F.trim(text), r"\s+"), lambda t: ~noise(t)), " ")
     return F.coalesce(F.nullif(kept, F.lit("")), text)
 

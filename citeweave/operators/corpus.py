@@ -6,6 +6,9 @@ of norm, or null), page. Everything else joins these tables; which join Spark ta
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ from citeweave.functions import text as T
 # Names under which a field of a corpus record may come.
 FIELDS = {"chapter": ["surah_num", "surahNum", "sura"], "verse": ["ayah_num", "ayahNum", "aya"], "plain": ["ayah_imlai", "ayahImlai"], "script": ["ayah_uthmani", "ayahUthmani"], "bare": ["ayah_notashkil", "ayahNotashkil"], "page": ["page_num", "pageNum"], "id": ["ID", "id"]}
 
+#: Numbers that the verses of a chapter have room for where the place of a verse is made of chapter and verse.
+PER_CHAPTER = 1_000_000
+
 
 def _any(df: DataFrame, names: list[str], kind: str) -> Column:
     found = [F.col(f"`{n}`").cast(kind) for n in names if n in df.columns]
@@ -55,12 +61,23 @@ def from_json(spark: SparkSession, path: str, profile: T.ScriptProfile = T.ARABI
     return corpus
 
 
+def auto_load(spark: SparkSession, paths: list[str], profile: T.ScriptProfile = T.ARABIC) -> tuple[str, DataFrame] | None:
+    """The first of some places that holds a valid corpus, and the corpus; None with a warning if none does."""
+    for path in paths:
+        try:
+            return path, from_json(spark, path, profile)
+        except (AnalysisException, ValueError):  # not there, not readable as records, or without a valid verse
+            continue
+    warnings.warn(f"no corpus under {', '.join(paths)}", stacklevel=2)
+    return None
+
+
 def from_passages(df: DataFrame, chapter: str, text: str, profile: T.ScriptProfile = T.LATIN, least: int = 12) -> DataFrame:
     """A corpus from texts: each is a chapter, its sentences of more than `least` characters are the verses."""
     parts = df.select(F.col(chapter).alias("chapter"), F.posexplode(F.split(text, r"[.\n]+")).alias("pos", "text")).withColumn("text", F.trim("text")).filter(F.length("text") > least)
     own = Window.partitionBy("chapter").orderBy("pos")
     verses = parts.withColumn("verse", F.row_number().over(own)).withColumn("norm", T.normalized(F.col("text"), profile)).filter("norm <> ''")
-    verses = verses.select((F.col("chapter") * 10000 + F.col("verse")).alias("v_idx"), "chapter", "verse", "text", F.col("text").alias("script"), "norm", F.lit(None).cast("string").alias("alias"), F.col("norm").alias("script_norm"), F.lit(None).cast("int").alias("page"))
+    verses = verses.select((F.col("chapter") * PER_CHAPTER + F.col("verse")).alias("v_idx"), "chapter", "verse", "text", F.col("text").alias("script"), "norm", F.lit(None).cast("string").alias("alias"), F.col("norm").alias("script_norm"), F.lit(None).cast("int").alias("page"))
     return finished(verses, profile)
 
 

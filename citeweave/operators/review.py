@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from citeweave.functions import text as T
 
@@ -39,6 +42,33 @@ def paged(facts: DataFrame, page: int, order: list[Column], size: int = 200) ->
     return facts.orderBy(*order).offset(max(page - 1, 0) * size).limit(size)
 
 
+#: Keys that rows may be sorted by, and the columns behind them.
+KEYS = {"id": "row_index", "before": "original", "after": "formatted", "confidence": "confidence", "page": "page", "surah": "chapter_name", "ayahRange": "verse", "count": "verse_count", "correctionType": "correction_type"}
+
+
+def order_by(facts: DataFrame, key: str, descending: bool = False) -> list[Column]:
+    """The order for a key: numbers as numbers, text as an Arabic reader would; ties by place."""
+    c = F.col(KEYS[key])
+    c = c if not isinstance(facts.schema[KEYS[key]].dataType, StringType) else F.collate(c, "AR")
+    return [c.desc() if descending else c.asc(), F.col("row_index"), F.col("start")]
+
+
+REJECTED = ["row_index", "start", "end", "original"]
+
+
+def rejected_all(facts: DataFrame, rejected: DataFrame | None, name: str = "all", word: str | None = None, profile: T.ScriptProfile = T.ARABIC) -> DataFrame:
+    """The rejections with all rows that a filter and a search leave in sight added; approving all is an empty table of them."""
+    seen = filtered(facts, name)
+    seen = (searched(seen, word, profile) if word else seen).select(*REJECTED)
+    return (seen if rejected is None else rejected.select(*REJECTED).union(seen)).distinct()
+
+
+def approval_counts(facts: DataFrame, rejected: DataFrame, profile: T.ScriptProfile = T.LATIN, skip_identical: bool = True) -> DataFrame:
+    """One row: n_approved of n_total."""
+    good = approved(facts, rejected, profile, skip_identical).agg(F.count("*").alias("n_approved")).withColumn("one", F.lit(1))
+    return facts.agg(F.count("*").alias("n_total")).withColumn("one", F.lit(1)).join(good, "one").select("n_approved", "n_total")
+
+
 def approved(facts: DataFrame, rejected: DataFrame, profile: T.ScriptProfile = T.LATIN, skip_identical: bool = True) -> DataFrame:
     """The rows that aren't rejected by place (row_index, start, end, original); nor, with skip_identical, by their text."""
     keys = ["row_index", "start", "end", "original"]
@@ -71,12 +101,12 @@ def clusters(facts: DataFrame, reach: int = REACH) -> DataFrame:
     return facts.withColumn("cluster", F.sum(F.when(gap <= reach, 0).otherwise(1)).over(by))
 
 
-def cluster_votes(facts: DataFrame) -> DataFrame:
+def cluster_votes(facts: DataFrame, reach: int = REACH) -> DataFrame:
     """The chapter that the sure quotations of each cluster name most: row_index, cluster, chapter, votes.
 
     Ties go to the chapter seen first; a chapter needs two votes.
     """
-    sure = clusters(facts).filter(F.col("confidence") > SURE).groupBy("row_index", "cluster", "chapter").agg(F.count("*").alias("votes"), F.min("start").alias("first"))
+    sure = clusters(facts, reach).filter(F.col("confidence") > SURE).groupBy("row_index", "cluster", "chapter").agg(F.count("*").alias("votes"), F.min("start").alias("first"))
     best = Window.partitionBy("row_index", "cluster").orderBy(F.desc("votes"), "first")
     return sure.withColumn("place", F.row_number().over(best)).filter((F.col("place") == 1) & (F.col("votes") >= VOTES)).select("row_index", "cluster", "chapter", "votes")
 
@@ -117,3 +147,21 @@ def html_report(facts: DataFrame, columns: list[str] = REPORT[:7], title: str =
 def write_report(lines: DataFrame, path: str, separator: str = "\n") -> None:
     """One text file in order: a report is one document, so its last step is one sorted task."""
     lines.orderBy("part", "r", "s").select("line").coalesce(1).write.option("lineSep", separator).text(path)
+
+
+def write_document(lines: DataFrame, path: str, separator: str = "\n") -> None:
+    """One file with the separator between the lines and none behind the last. It has one writer: the driver, line by line."""
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        for i, r in enumerate(lines.orderBy("part", "r", "s").select("line").toLocalIterator()):
+            f.write((separator if i else "") + r.line)
+
+
+def write_json_document(facts: DataFrame, path: str, generated_at: str, meta: dict | None = None, columns: list[str] = REPORT) -> None:
+    """The report as one JSON document: generatedAt, summary (meta first) and rows. The driver writes it row by row."""
+    lines = json_report(facts, columns).orderBy("part", "r", "s").select("line").toLocalIterator()
+    summary = (meta or {}) | json.loads(next(lines).line)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'{{"generatedAt": {json.dumps(generated_at)}, "summary": {json.dumps(summary, ensure_ascii=False)}, "rows": [')
+        for i, r in enumerate(lines):
+            f.write(("," if i else "") + "\n" + r.line)
+        f.write("\n]}")

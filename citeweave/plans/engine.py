@@ -1,7 +1,8 @@
 """From texts to replacements: extract, match by a cascade of joins, choose, render, vote, splice.
 
-The cascade is a union of strategies, each only over the candidates that earlier ones left; a window picks per
-candidate. Candidates are matched once for each distinct normalised text and hint, and joined back.
+The cascade is a union of strategies, the late ones only over the candidates that earlier ones left; a window picks per
+candidate. Candidates are matched once for each distinct normalised text and hint, and joined back. Candidates, corpus
+and what each stage finds are stored tables (`store.kept`), so each stage is planned from scans.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 from citeweave.operators import extract, match, render, review
+from citeweave.plans.store import kept
 
 
 @dataclass(frozen=True)
@@ -41,70 +43,127 @@ def quotations(rows: DataFrame, cfg: Config, ident: str, text: str, chapter: str
     return found.withColumn("cleaned", T.without_noise(plain) if cfg.profile.name == "arabic" else plain)
 
 
+_HIT = ["id", "ord", "kind", "chapter", "verse", "end_verse", "w_start", "w_size", "confidence", "ambiguous", "occurrences", "alternatives", "partial", "steps"]
+
+
+def _hits(df: DataFrame, order: int, kind: str) -> DataFrame:
+    """The hits of a strategy in the columns that all have: a window of words (w_start, w_size; null: all) or steps."""
+    have = set(df.columns)
+    col = lambda c, d: F.col(c) if c in have else d
+    none = F.lit(None)
+    return df.select(
+        "id", F.lit(order).alias("ord"), F.lit(kind).alias("kind"), col("chapter", none).cast("int").alias("chapter"), col("verse", none).cast("int").alias("verse"),
+        col("end_verse", col("verse", none)).cast("int").alias("end_verse"), col("start", none).cast("int").alias("w_start"), col("size", none).cast("int").alias("w_size"),
+        F.col("confidence").cast("int").alias("confidence"), col("ambiguous", F.lit(False)).alias("ambiguous"), col("occurrences", F.lit(1)).cast("int").alias("occurrences"),
+        col("alternatives", F.array().cast("array<string>")).alias("alternatives"), col("partial", F.lit(False)).alias("partial"), col("steps", none.cast(match._STEPS)).alias("steps"),
+    )
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def variants(cands: DataFrame, corpus: DataFrame, profile: T.ScriptProfile) -> DataFrame:
+    """Candidates with a word cut in two or two written as one; id is the variant's own, of the candidate's."""
+    hints = cands.select("id", "raw", "hint_chapter", "hint_verse")
+    made = match.unglued(cands, corpus).select("id", "tokens").union(match.rejoined(cands, corpus).select("id", "tokens")).distinct()
+    made = made.join(hints, "id").withColumn("of", F.col("id")).withColumn("id", F.xxhash64("of", "tokens"))
+    return match.recast(made, profile)
+
+
 def resolved(cands: DataFrame, corpus: DataFrame, cfg: Config) -> DataFrame:
-    """The best reading of each candidate: id, chapter, verse, end_verse, start, size (words, null: all), confidence, ...
+    """The best reading of each candidate: id, kind, chapter, verse, end_verse, words, confidence, ..., steps.
 
-    In order: a chain of whole verses, a whole verse, a verse but for weak letters, a run of words, a beginning; then
-    with correction chains with typing errors, a missing word, and the most alike window. The first to reach
-    confidence 100 wins; of the others the surest, then the earlier.
+    In order: verses end to end, a whole verse, a verse but for weak letters, a run of words, a beginning. With correction
+    also: verses end to end with words lost, added or mistyped; a word glued, cut, lost or replaced; the most alike window.
+    The first to reach confidence 100 wins; of the others the surest, then the earlier.
     """
-    some, corpus = cands.filter(F.size("tokens") >= 2).cache(), corpus.cache()  # every strategy reads both
-
-    def one(hits: DataFrame, order: int, kind: str) -> DataFrame:
-        have = set(hits.columns)
-        col = lambda c, d: F.col(c) if c in have else d
-        return hits.select(
-            "id", F.lit(order).alias("ord"), F.lit(kind).alias("kind"), "chapter", col("verse", F.col("first_verse") if "first_verse" in have else F.lit(None)).cast("int").alias("verse"),
-            (F.col("last_verse") + F.col("begun").cast("int") if "last_verse" in have else F.col("verse")).cast("int").alias("end_verse"),
-            col("start", F.lit(None)).cast("int").alias("w_start"), col("size", F.lit(None)).cast("int").alias("w_size"),
-            F.col("confidence").cast("int").alias("confidence"), col("ambiguous", F.lit(False)).alias("ambiguous"), col("occurrences", F.lit(1)).cast("int").alias("occurrences"),
-            col("alternatives", F.array().cast("array<string>")).alias("alternatives"), col("partial", F.lit(False)).alias("partial"),
-            (F.col("begun") & ~F.col("completed") if "begun" in have else F.lit(False)).alias("cut"),
-        )
-
-    chains = match.whole_chains(some, corpus, cfg.correct).filter("n_verses + cast(begun as int) > 1")
-    sure = one(chains, 0, "chain").unionByName(one(match.exact(some, corpus), 1, "exact")).unionByName(one(match.by_skeleton(some, corpus), 2, "skeleton")).unionByName(one(match.contiguous(some, corpus), 3, "run")).unionByName(one(match.prefix(some, corpus), 4, "prefix"))
-    sure = sure.cache()
+    corpus = kept(corpus, "corpus")
+    some = kept(cands.filter(F.size("tokens") >= 2), "candidates")
+    runs, ends = kept(match.verse_runs(some, corpus), "runs"), kept(match.begun(some, corpus), "begun")
+    tied = match.chains(some, corpus, runs=runs).join(some.select("id", F.size("tokens").alias("n")), "id").filter("pos = 0 and end = n").groupBy("id").agg((F.count("*") > 1).alias("ambiguous"))
+    walks = match.walked(some, runs, None, ends, cfg.correct).filter(F.size("steps") > 1).join(tied, "id", "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
+    parts = [(walks, "chain"), (match.exact(some, corpus), "exact"), (match.by_skeleton(some, corpus), "skeleton"), (match.contiguous(some, corpus), "run"), (match.prefix(some, corpus), "prefix")]
+    sure = kept(_union([kept(_hits(df, i, kind), kind) for i, (df, kind) in enumerate(parts)]), "sure")
     if cfg.correct:
-        rest = some.filter(F.size("tokens") <= cfg.longest_fuzzy).join(sure.select("id").distinct(), "id", "left_anti").cache()
-        gap = match.one_missing(rest, corpus).join(rest.select("id", F.size("tokens").alias("n"), "hint_chapter", "hint_verse"), "id")
-        gap = match.picked(gap).withColumn("size", F.col("n") + 1).withColumn("confidence", T.rounded(100 * F.col("n") / (F.col("n") + 1))).withColumn("partial", F.lit(True))
-        typo = match.whole_chains(rest, corpus, True, typos=2)
-        late = one(typo, 5, "typos").unionByName(one(gap, 6, "missing")).unionByName(one(match.fuzzy(rest, corpus).withColumn("partial", F.lit(True)), 7, "fuzzy"))
-        sure = sure.unionByName(late.filter("confidence >= 85 or kind = 'missing'"))
+        rest = kept(some.filter(F.size("tokens") <= cfg.longest_fuzzy).join(sure.select("id").distinct(), "id", "left_anti"), "rest")
+        if not rest.isEmpty():
+            n = rest.select("id", F.size("tokens").alias("n"), "hint_chapter", "hint_verse")
+            only = lambda df: df.join(rest.select("id"), "id", "left_semi")
+            fixed = match.walked(rest, only(runs), kept(match.repairs(rest, corpus, runs, kept), "repairs"), only(ends))
+            forms = kept(variants(rest, corpus, cfg.profile), "variants")
+            back = lambda df: match.picked(df.drop("occurrences", "alternatives", "ambiguous", "resolved").join(forms.select("id", "of", "hint_chapter", "hint_verse"), "id").withColumn("id", F.col("of")).drop("of"), (F.desc("score"),))
+            form = match.exact(forms, corpus).select("id", "v_idx", "chapter", "verse", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), "partial", F.least("confidence", F.lit(match.COMPLETED)).alias("score"))
+            form = back(form.union(match.contiguous(forms, corpus).select("id", "v_idx", "chapter", "verse", "start", "size", "partial", F.least("confidence", F.lit(match.COMPLETED)).alias("score")))).withColumn("confidence", F.col("score"))
+            gap = match.picked(match.one_missing(rest, corpus).join(n, "id")).withColumn("size", F.col("n") + 1).withColumn("confidence", T.rounded(100 * F.col("n") / (F.col("n") + 1))).withColumn("partial", F.lit(True))
+            other = match.picked(match.one_substituted(rest, corpus).join(n, "id")).withColumn("size", F.col("n")).withColumn("confidence", T.rounded(100 * (F.col("n") - 1) / F.col("n"))).withColumn("partial", F.lit(True))
+            fuzzy = match.fuzzy(rest, corpus).withColumn("partial", F.lit(True))
+            late = [(fixed, "repaired"), (form, "form"), (gap, "missing"), (other, "substituted"), (fuzzy, "fuzzy")]
+            late = [kept(_hits(df, 5 + i, kind), kind) for i, (df, kind) in enumerate(late)]
+            sure = sure.unionByName(_union(late).filter("confidence >= 85 or kind = 'missing'"))
     best = Window.partitionBy("id").orderBy(F.desc(F.col("confidence") == 100), F.when(F.col("confidence") == 100, F.col("ord")), F.desc("confidence"), "ord")
-    return sure.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place")
+    return kept(sure.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place"), "resolved")
 
 
 def rendered(hits: DataFrame, corpus: DataFrame, cfg: Config) -> DataFrame:
-    """Adds `formatted`, chapter_name, page and verse_count; drops what has no substance (one word in all)."""
+    """Adds `formatted`, chapter_name, page and verse_count; drops what has no substance.
+
+    A reading of several runs of verses has one reference for each, with a line feed between; chapter and verses are those
+    of the first. Substance: two words in all, and a verse that has two.
+    """
     words = corpus.select(F.col("chapter").alias("c_"), F.col("verse").alias("v_"), F.split(F.trim("script" if cfg.script else "text"), r"\s+").alias("words"), "page")
-    span = hits.withColumn("v", F.explode(F.sequence("verse", "end_verse"))).join(words, (F.col("chapter") == F.col("c_")) & (F.col("v") == F.col("v_")))
+    plain = hits.filter("steps is null").select("id", F.lit(0).cast("long").alias("g"), "chapter", "verse", "end_verse", F.lit(False).alias("cut"))
+    walks = match.groups(hits.filter("steps is not null").select("id", "steps", (F.col("confidence") == match.UNIQUE).alias("whole")))
+    # a verse only begun is given as far as it goes if it wasn't completed, which the confidence tells
+    walks = walks.select("id", F.col("g").cast("long").alias("g"), "chapter", "verse", "end_verse", (F.col("begun") & F.col("whole")).alias("cut"))
+    window = hits.select("id", "partial", "w_start", "w_size")
+    runs = plain.unionByName(walks).join(window, "id")
+    span = runs.withColumn("v", F.explode(F.sequence("verse", "end_verse"))).join(words, (F.col("chapter") == F.col("c_")) & (F.col("v") == F.col("v_")))
     cut = F.when(F.col("partial") & F.col("w_start").isNotNull(), F.expr("slice(words, w_start + 1, w_size)")).otherwise(F.col("words"))
     span = span.withColumn("shown", F.concat(F.array_join(cut, " "), F.when(F.col("cut") & (F.col("v") == F.col("end_verse")), F.lit(" ...")).otherwise(F.lit(""))))
-    keys = [c for c in hits.columns if c != "id"]
-    parts = span.groupBy("id").agg(*(F.first(c).alias(c) for c in keys), F.array_sort(F.collect_list(F.struct("v", "shown"))).alias("p"), F.min_by("page", "v").alias("page"), F.sum(F.size(cut)).alias("n_words"))
-    parts = parts.filter("n_words >= 2")
+    parts = span.groupBy("id", "g").agg(*(F.first(c).alias(c) for c in ("chapter", "verse", "end_verse")), F.array_sort(F.collect_list(F.struct("v", "shown"))).alias("p"), F.min_by("page", "v").alias("page"), F.sum(F.size(cut)).alias("n_words"), F.max(F.size(cut)).alias("longest"))
     name = render.chapter_name(cfg.names, F.col("chapter"))
     pieces = F.transform("p", lambda x: F.struct(x["shown"].alias("text"), x["v"].alias("verse")))
-    return parts.withColumn("chapter_name", name).withColumn("verse_count", F.size("p")).withColumn("formatted", render.reference(pieces, name, F.col("verse"), F.col("end_verse")))
+    parts = parts.withColumn("chapter_name", name).withColumn("verse_count", F.size("p")).withColumn("formatted", render.reference(pieces, name, F.col("verse"), F.col("end_verse")))
+    one = parts.groupBy("id").agg(F.min(F.struct("g", "chapter", "verse", "end_verse", "chapter_name", "page")).alias("x"), F.array_sort(F.collect_list(F.struct("g", "formatted"))).alias("f"), F.sum("verse_count").cast("int").alias("verse_count"), F.sum("n_words").alias("n_words"), F.max("longest").alias("longest"))
+    one = one.filter("n_words >= 2 and longest >= 2").select("id", "x.chapter", "x.verse", "x.end_verse", "x.chapter_name", "x.page", "verse_count", F.array_join(F.transform("f", lambda y: y["formatted"]), "\n").alias("formatted"))
+    return one.join(hits.drop("chapter", "verse", "end_verse", "steps", "w_start", "w_size", "partial"), "id")
 
 
 def replacements(rows: DataFrame, corpus: DataFrame, cfg: Config = Config(), ident: str = "id", text: str = "text", chapter: str | None = None, verse: str | None = None) -> DataFrame:
-    """The fact table: a row for each quotation that is linked and would change."""
-    quotes = quotations(rows, cfg, ident, text, chapter, verse)
-    keyed = quotes.withColumn("id", F.xxhash64("cleaned", "chapter_hint", "verse_hint"))
-    distinct = keyed.select("id", "cleaned", F.col("chapter_hint").cast("string").alias("chapter_hint"), F.col("verse_hint").cast("string").alias("verse_hint")).distinct()
-    cands = match.candidates(distinct, cfg.profile, "cleaned", "id", "chapter_hint", "verse_hint")
-    hits = rendered(resolved(cands, corpus, cfg), corpus, cfg)
-    out = keyed.join(hits, "id")
+    """The fact table: a row for each quotation that is linked and would change.
+
+    Quotations that aren't sure and stand among others that name one chapter are read again with that chapter as the
+    hint; the new reading counts if it is surer.
+    """
+    corpus = kept(corpus, "corpus")
+    quotes = kept(quotations(rows, cfg, ident, text, chapter, verse), "quotations")
+
+    def read(keyed: DataFrame) -> DataFrame:
+        distinct = keyed.select("id", "cleaned", F.col("chapter_hint").cast("string").alias("chapter_hint"), F.col("verse_hint").cast("string").alias("verse_hint")).distinct()
+        cands = match.candidates(distinct, cfg.profile, "cleaned", "id", "chapter_hint", "verse_hint")
+        return keyed.join(rendered(resolved(cands, corpus, cfg), corpus, cfg), "id")
+
+    own = lambda df: df.withColumn("id", F.xxhash64("cleaned", F.col("chapter_hint").cast("string"), F.col("verse_hint").cast("string")))
+    out = kept(read(own(quotes)), "read")
+    placed = review.clusters(out)
+    votes = review.cluster_votes(out).select("row_index", "cluster", F.col("chapter").alias("dominant"))
+    doubtful = kept(placed.filter("confidence < 100").join(votes, ["row_index", "cluster"]).filter("chapter <> dominant").select("row_index", "start", "end", "dominant", F.col("confidence").alias("before")), "doubtful")
+    if not doubtful.isEmpty():
+        again = quotes.join(doubtful, ["row_index", "start", "end"]).withColumn("chapter_hint", F.col("dominant").cast("string")).withColumn("verse_hint", F.lit(None).cast("string"))
+        better = kept(read(own(again)).filter("confidence > before"), "better")
+        keys = ["row_index", "start", "end"]
+        out = out.withColumns({c: F.col(c).cast("string") for c in ("chapter_hint", "verse_hint")}).join(better.select(*keys), keys, "left_anti").unionByName(better.drop("dominant", "before"))
     # a reference tag behind the quotation that names the same verses is taken in
     tag = render.tag_after(F.col("source"), F.col("end"))
     cites = render.tag_cites(T.normalized(tag, cfg.profile), T.normalized(F.col("chapter_name"), cfg.profile), F.col("verse"), F.col("end_verse"))
     out = out.withColumn("end", F.col("end") + F.when((tag != "") & cites, F.length(tag)).otherwise(0))
     out = out.withColumn("original", F.substring(F.col("source"), F.col("start") + 1, F.col("end") - F.col("start"))).filter("original <> formatted")
     out = out.withColumn("needs_review", (F.col("confidence") < review.LOW) | F.col("ambiguous")).withColumn("is_consecutive", F.col("verse_count") > 1)
-    out = out.withColumn("correction_type", F.when(F.col("kind").isin("typos", "missing", "fuzzy"), "correct").otherwise("format"))
+    out = out.withColumn("correction_type", F.when(F.col("kind").isin("repaired", "form", "missing", "substituted", "fuzzy"), "correct").otherwise("format"))
     return out.select(*FACTS)
 
 
@@ -127,3 +186,9 @@ def process_stream(stream: DataFrame, corpus: DataFrame, path: str, checkpoint:
     """A streaming query that runs the same batch transform over each micro-batch and appends Parquet to path."""
     out = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"}))
     return out.foreachBatch(lambda df, _: process(df, corpus, cfg, **names).write.mode("append").parquet(path)).start()
+
+
+def format_text(text: str, corpus: DataFrame, cfg: Config = Config()) -> str:
+    """One text with its quotations rewritten, apart from any table."""
+    rows = corpus.sparkSession.createDataFrame([(0, text)], "id int, text string")
+    return process(rows, corpus, cfg).first().modified_text

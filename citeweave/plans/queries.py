@@ -28,7 +28,7 @@ VERSES = rf"""verses AS (
   FROM (SELECT item_id AS chapter, pos, trim(s) AS text FROM (
     SELECT item_id, unnest(l) AS s, unnest(range(len(l))) AS pos FROM (SELECT item_id, string_split_regex(text, '[.\n]+') AS l FROM benchmark)))
   WHERE length(text) > 12),
-corpus AS (SELECT chapter * 10000 + verse AS v_idx, chapter, verse, text, norm, string_split(norm, ' ') AS tokens, {SKEL.format('norm')} AS skeleton FROM verses WHERE norm <> '')"""
+corpus AS (SELECT chapter * 1000000 + verse AS v_idx, chapter, verse, text, norm, string_split(norm, ' ') AS tokens, {SKEL.format('norm')} AS skeleton FROM verses WHERE norm <> '')"""
 SENTENCES = rf"""sentences AS (
   SELECT doc_id, pos, text, {NORM.format('text')} AS norm FROM (
     SELECT doc_id, pos, trim(s) AS text FROM (
@@ -68,12 +68,8 @@ def verse_candidates(spark: SparkSession, sf: str, text=None) -> DataFrame:
 
 
 def found_verses(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, v_idx, chapter, verse, start, size: every verse that stands in a document, by its first word's places."""
-    v = corpus(spark, sf).select("v_idx", "chapter", "verse", "tokens", F.size("tokens").alias("size"), F.col("tokens")[0].alias("token"))
-    words = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text"), T.LATIN).alias("w"))
-    # the verse's words are compared as text, so the words of a document travel with its key words only
-    at = words.select("doc_id", "w", F.posexplode("w").alias("pos", "token"))
-    return at.join(v, "token").filter(F.expr("slice(w, pos + 1, size)") == F.col("tokens")).select("doc_id", "v_idx", "chapter", "verse", F.col("pos").alias("start"), "size")
+    """doc_id, v_idx, chapter, verse, start, size: every verse that stands in a document."""
+    return match.verses_in(table(spark, sf, "documents"), corpus(spark, sf), "doc_id", "text", T.LATIN)
 
 
 FOUND = rf"""doc_words AS (SELECT doc_id, string_split({NORM.format('text')}, ' ') AS w FROM documents),
@@ -275,6 +271,86 @@ def blended_similarity(spark, sf):
     return e.select("a", "b", F.round(T.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
+# --- the picks of single strategies ---------------------------------------------------------------
+
+
+def sentence_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sentence of the documents as a candidate; id is doc_id * 1000000 + pos."""
+    return match.candidates(sentences(spark, sf).select((F.col("doc_id") * 1000000 + F.col("pos")).alias("id"), "text"), T.LATIN)
+
+
+def _pick(hits: DataFrame) -> DataFrame:
+    return hits.select("id", "chapter", F.col("verse").cast("long").alias("verse"), "occurrences", F.col("confidence").cast("long").alias("confidence"))
+
+
+PICKED = "SELECT id, arg_min(chapter, v_idx) AS chapter, arg_min(verse, v_idx) AS verse, count(*) AS occurrences, CASE WHEN count(*) > 1 THEN 92 ELSE {} END::BIGINT AS confidence FROM h GROUP BY id"
+
+
+@query(f"WITH {VERSES}, {SENTENCES}, h AS (SELECT doc_id * 1000000 + pos AS id, chapter, verse, v_idx FROM sentences JOIN corpus USING (norm)) {PICKED.format(100)}")
+def exact_pick(spark, sf):
+    return _pick(match.exact(sentence_candidates(spark, sf), corpus(spark, sf)))
+
+
+@query(f"WITH {VERSES}, {SENTENCES}, s AS (SELECT doc_id * 1000000 + pos AS id, {SKEL.format('norm')} AS skeleton FROM sentences), h AS (SELECT id, chapter, verse, v_idx FROM s JOIN corpus USING (skeleton) WHERE length(skeleton) >= 4) {PICKED.format(97)}")
+def skeleton_pick(spark, sf):
+    return _pick(match.by_skeleton(sentence_candidates(spark, sf), corpus(spark, sf)))
+
+
+@query(f"""WITH {VERSES}, q AS (SELECT v_idx AS id, {INNER} AS q FROM corpus WHERE len(tokens) >= 4),
+h AS (SELECT id, chapter, verse, v_idx FROM q JOIN corpus ON contains(' ' || norm || ' ', ' ' || q || ' ')) {PICKED.format(100)}""")
+def contiguous_pick(spark, sf):
+    inner = lambda text, toks: F.when(F.size(toks) >= 4, F.array_join(F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 2, F.lit(0))), " ")).otherwise("")
+    return _pick(match.contiguous(verse_candidates(spark, sf, inner), corpus(spark, sf)))
+
+
+@query(f"""WITH {VERSES}, q AS (SELECT v_idx AS id, tokens[1] || ' ' || tokens[2] AS q FROM corpus WHERE len(tokens) >= 2),
+h AS (SELECT id, v_idx, row_number() OVER (PARTITION BY id ORDER BY v_idx) AS place FROM q JOIN corpus ON contains(' ' || norm || ' ', ' ' || q || ' ')) SELECT id, v_idx, place FROM h WHERE place <= 60""")
+def repeated_run_hits(spark, sf):
+    two = lambda text, toks: F.when(F.size(toks) >= 2, F.array_join(F.slice(toks, 1, 2), " ")).otherwise("")
+    return match.repeated_runs(verse_candidates(spark, sf, two), corpus(spark, sf)).select("id", "v_idx", F.col("place").cast("long").alias("place"))
+
+
+SKELS = f"list_transform({{}}, lambda t: {SKEL.format('t')})"
+
+
+@query(f"""WITH {VERSES}, {SENTENCES}, w AS (SELECT doc_id * 1000000 + pos AS id, string_split(norm, ' ') AS w FROM sentences WHERE norm <> ''),
+a AS (SELECT id, w, sw, unnest(range(1, len(w) + 1)) AS p FROM (SELECT id, w, {SKELS.format('w')} AS sw FROM w)), c AS (SELECT chapter, verse, tokens, {SKELS.format('tokens')} AS s FROM corpus)
+SELECT id, p - 1 AS pos, chapter, verse, len(tokens)::BIGINT AS size FROM a JOIN c ON a.sw[a.p] = c.s[1] AND (list_slice(w, p, p + len(tokens) - 1) = tokens OR (list_slice(sw, p, p + len(s) - 1) = s AND NOT list_contains(s, '')))""")
+def verse_runs(spark, sf):
+    """Verses, by words or by skeletons, within the sentences of the documents."""
+    out = match.verse_runs(sentence_candidates(spark, sf), corpus(spark, sf))
+    return out.select("id", F.col("pos").cast("long").alias("pos"), "chapter", F.col("verse").cast("long").alias("verse"), F.col("size").cast("long").alias("size"))
+
+
+@query(f"WITH {VERSES} SELECT chapter, verse, norm FROM corpus")
+def corpus_by_key(spark, sf):
+    return C.by_key(corpus(spark, sf)).select("chapter", F.col("verse").cast("long").alias("verse"), "norm")
+
+
+@query(f"""WITH {VERSES}, q AS (SELECT v_idx AS id, list_concat(list_slice(tokens, 1, 2), [tokens[3] || 'x'], list_slice(tokens, 4, len(tokens))) AS q FROM corpus WHERE len(tokens) >= 5),
+g AS (SELECT id, q, unnest(range(1, len(q) - 1)) AS at FROM q), s AS (SELECT v_idx, chapter, verse, tokens, unnest(range(0, len(tokens) - 2)) AS p FROM corpus WHERE len(tokens) >= 3)
+SELECT id, chapter, verse, p - at + 1 AS start, at AS place, tokens[p + 2] AS word FROM g JOIN s ON q[at] = tokens[p + 1] AND q[at + 2] = tokens[p + 3]
+WHERE p - at + 1 >= 0 AND p - at + 1 + len(q) <= len(tokens) AND list_slice(tokens, p - at + 2, p + 1) = list_slice(q, 1, at) AND list_slice(tokens, p + 3, p - at + 1 + len(q)) = list_slice(q, at + 2, len(q))
+  AND q[at + 1] <> tokens[p + 2] AND 1 - levenshtein(q[at + 1], tokens[p + 2]) / greatest(length(q[at + 1]), length(tokens[p + 2])) >= 0.5""")
+def substituted_word(spark, sf):
+    other = lambda text, toks: F.when(F.size(toks) >= 5, F.array_join(F.transform(toks, lambda t, i: F.when(i == 2, F.concat(t, F.lit("x"))).otherwise(t)), " ")).otherwise("")
+    hits = match.one_substituted(verse_candidates(spark, sf, other), corpus(spark, sf))
+    return hits.select("id", "chapter", F.col("verse").cast("long").alias("verse"), F.col("start").cast("long").alias("start"), F.col("at").cast("long").alias("place"), "word")
+
+
+@query(f"""WITH {VERSES} SELECT a.v_idx AS id, a.chapter, a.verse AS first_verse, b.verse AS last_verse, 96::BIGINT AS confidence FROM corpus a JOIN corpus b ON a.chapter = b.chapter AND b.verse = a.verse + 1 WHERE len(a.tokens) >= 5""")
+def repaired_pairs(spark, sf):
+    """Two neighbouring verses as one quotation, the third word lost: read as both, with one edit."""
+    v = corpus(spark, sf)
+    two = C.following(v, "chapter", "verse", ["text"]).filter("next_text is not null and size(tokens) >= 5")
+    made = two.select(F.col("v_idx").alias("id"), F.concat_ws(" ", F.array_join(F.filter("tokens", lambda t, i: i != 2), " "), "next_text").alias("text"))
+    cands = match.candidates(made, T.LATIN)
+    runs = match.verse_runs(cands, v)
+    steps = match.walked(cands, runs, match.repairs(cands, v, runs), match.begun(cands, v))
+    out = match.groups(steps.select("id", "steps", "confidence"))
+    return out.select("id", "chapter", F.col("verse").cast("long").alias("first_verse"), F.col("end_verse").cast("long").alias("last_verse"), F.col("confidence").cast("long").alias("confidence"))
+
+
 def _swapped(text, toks):
     """The second word reversed."""
     return F.when(F.size(toks) >= 4, F.array_join(F.transform(toks, lambda t, i: F.when(i == 1, F.reverse(t)).otherwise(t)), " ")).otherwise("")
@@ -319,12 +395,9 @@ def split_word(spark, sf):
 i AS (SELECT *, verse - row_number() OVER (PARTITION BY doc_id, chapter, origin ORDER BY verse) AS island FROM s)
 SELECT doc_id, chapter, min(verse) AS first_verse, max(verse) AS last_verse, count(*) AS n_verses, min(start) AS start FROM i GROUP BY doc_id, chapter, origin, island""")
 def chain_runs(spark, sf):
-    before = Window.partitionBy("chapter").orderBy("verse").rowsBetween(Window.unboundedPreceding, -1)
-    shift = corpus(spark, sf).select("v_idx", F.coalesce(F.sum(F.size("tokens")).over(before), F.lit(0)).alias("words_before"))
-    runs = found_verses(spark, sf).join(shift, "v_idx").withColumn("origin", F.col("start") - F.col("words_before"))
-    runs = runs.withColumn("island", F.col("verse") - F.row_number().over(Window.partitionBy("doc_id", "chapter", "origin").orderBy("verse")))
-    out = runs.groupBy("doc_id", "chapter", "origin", "island").agg(F.min("verse").cast("long").alias("first_verse"), F.max("verse").cast("long").alias("last_verse"), F.count("*").alias("n_verses"), F.min("start").cast("long").alias("start"))
-    return out.drop("origin", "island")
+    runs = found_verses(spark, sf).select(F.col("doc_id").alias("id"), F.col("start").alias("pos"), "v_idx", "chapter", "verse", "size", F.lit(0).alias("errors"))
+    out = match.chains(None, corpus(spark, sf), runs=runs)
+    return out.select(F.col("id").alias("doc_id"), "chapter", F.col("first_verse").cast("long").alias("first_verse"), F.col("last_verse").cast("long").alias("last_verse"), "n_verses", F.col("pos").cast("long").alias("start"))
 
 
 @query(f"""WITH {VERSES}, n AS (SELECT a.v_idx AS id, a.chapter, a.verse FROM corpus a JOIN corpus b ON a.chapter = b.chapter AND b.verse = a.verse + 1)
@@ -343,10 +416,7 @@ v AS (SELECT doc_id, cluster, chapter, count(*) AS votes, min(start) AS first FR
 SELECT doc_id, cluster::BIGINT AS cluster, chapter, votes FROM r WHERE place = 1 AND votes >= 2""")
 def session_vote(spark, sf):
     facts = found_verses(spark, sf).select(F.col("doc_id").alias("row_index"), "chapter", "start", (F.col("start") + F.col("size")).alias("end"), F.lit(100).alias("confidence"))
-    clustered = review.clusters(facts, 40)
-    sure = clustered.groupBy("row_index", "cluster", "chapter").agg(F.count("*").alias("votes"), F.min("start").alias("first"))
-    best = Window.partitionBy("row_index", "cluster").orderBy(F.desc("votes"), "first")
-    return sure.withColumn("place", F.row_number().over(best)).filter("place = 1 and votes >= 2").select(F.col("row_index").alias("doc_id"), "cluster", "chapter", "votes")
+    return review.cluster_votes(facts, 40).select(F.col("row_index").alias("doc_id"), "cluster", "chapter", "votes")
 
 
 # --- extraction, rendering --------------------------------------------------------------------
@@ -468,7 +538,10 @@ def text_paragraphs(spark, sf):
     return out.select("doc_id", "page", "paragraph", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: length(x) + 1) AS c FROM documents),
+r AS (SELECT doc_id, c, 1 AS i, 1 AS page, c[1] AS used FROM p WHERE len(c) > 0
+  UNION ALL SELECT doc_id, c, i + 1, CASE WHEN used > 0 AND used + c[i + 1] > 1800 THEN page + 1 ELSE page END, CASE WHEN used > 0 AND used + c[i + 1] > 1800 THEN c[i + 1] ELSE used + c[i + 1] END FROM r WHERE i < len(c))
+SELECT p.doc_id, len(p.c)::INT AS n_parts, coalesce(max(r.page), 0)::INT AS n_pages FROM p LEFT JOIN r ON p.doc_id = r.doc_id GROUP BY p.doc_id, len(p.c)""")
 def page_estimate(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda t: F.trim(t) != "").alias("parts"))
     return docs.select("doc_id", docs_io.estimated_pages(F.col("parts")).alias("pages")).select("doc_id", F.size("pages").alias("n_parts"), F.coalesce(F.array_max("pages"), F.lit(0)).alias("n_pages"))
@@ -482,7 +555,8 @@ def quoted_rows(spark, sf) -> DataFrame:
     return v.select(F.col("v_idx").alias("id"), "chapter", "verse", F.concat(F.lit("See "), opened, "text", closed, F.lit(" and on.")).alias("text"))
 
 
-@query()
+@query(f"""WITH {VERSES} SELECT v_idx AS id, 'See ﴿' || regexp_replace(text, '\\s+', ' ', 'g') || '﴾ [سورة ' || chapter || ': ' || translate(verse::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') || '] and on.' AS modified_text,
+1 AS n_replacements, 1::BIGINT AS total_verses, 100 AS average_confidence FROM corpus""")
 def process_rows(spark, sf):
     """The whole engine over quoted verses."""
     cfg = engine.Config(profile=T.LATIN)
@@ -499,3 +573,11 @@ def cascade_best(spark, sf):
     made = v.select(F.explode(F.array(*(F.struct((F.col("v_idx") * 10 + i).alias("id"), x.alias("text")) for i, x in enumerate((F.col("text"), _swapped(None, toks), _without_third(None, toks), cut))))).alias("x")).select("x.*")
     out = engine.resolved(match.candidates(made, T.LATIN), v, cfg)
     return out.select("id", "kind", "chapter", "verse", "end_verse", "confidence", "ambiguous")
+
+
+@query()
+def cascade_documents(spark, sf):
+    """The cascade without correction over every sentence of the documents, equal ones once."""
+    made = sentences(spark, sf).groupBy("norm").agg(F.min("text").alias("text")).select(F.xxhash64("norm").alias("id"), "text")
+    out = engine.resolved(match.candidates(made, T.LATIN), corpus(spark, sf), engine.Config(profile=T.LATIN, correct=False))
+    return out.select("id", "kind", "chapter", "verse", "end_verse", "confidence", "ambiguous")

@@ -93,6 +93,41 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.explode(parse("content")).alias("x")).select("path", "x.page", (F.col("x.index") + 1).alias("paragraph"), "x.p_index", "x.text")
 
 
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """path, page, paragraph, p_index and text of text and DOCX files: .txt, .md and .csv are text; of others, those that
+    begin like a ZIP archive are DOCX. p_index is null for text."""
+    files = spark.read.format("binaryFile").load(path)
+    plain = F.lower("path").rlike(r"\.(txt|md|csv)$") | (F.substring("content", 1, 2) != F.lit(b"PK"))
+
+    @F.pandas_udf(PARAGRAPHS)
+    def parse(data: pd.Series) -> pd.Series:
+        return data.map(docx_paragraphs)
+
+    docx = files.filter(~plain).select("path", F.explode(parse("content")).alias("x")).select("path", "x.page", (F.col("x.index") + 1).alias("paragraph"), F.col("x.p_index").alias("p_index"), "x.text")
+    text = files.filter(plain).select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("text"))
+    text = text_paragraphs(text, "path", "text").select("path", "page", "paragraph", F.lit(None).cast("int").alias("p_index"), "text")
+    return docx.unionByName(text)
+
+
+def as_table(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs in the columns of a table of texts; their place is kept beside."""
+    return paragraphs.select(F.col("page").alias("ص"), F.col("paragraph").alias("الفقرة"), F.col("text").alias("AyahText"), "path", "p_index")
+
+
+def save_documents(spark: SparkSession, path: str, before: DataFrame, after: DataFrame) -> DataFrame:
+    """path and content of the documents with their new texts; before, after: (path, paragraph, p_index, text).
+
+    DOCX files get the paragraphs that differ put in; text files are their paragraphs with blank lines between and a byte
+    order mark in front.
+    """
+    keys = ["path", "paragraph"]
+    changed = after.join(before.select(*keys, F.col("text").alias("_old")), keys).filter("text <> _old and p_index is not null").select("path", "p_index", "text")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    docx = after.filter("p_index is not null").select("path").distinct()
+    text = plain_text(after.filter("p_index is null"), "path", "paragraph", "text")
+    return docx_with_edits(files.join(docx, "path", "left_semi"), changed).union(text.select("path", F.encode(F.concat(F.lit("\ufeff"), "text"), "UTF-8")))
+
+
 def edited_docx(data: bytes, edits: dict[int, str]) -> bytes:
     """The document with new text for some paragraphs (by p_index); all other parts as they were."""
     source = zipfile.ZipFile(io.BytesIO(data))

@@ -44,7 +44,7 @@ def _kind(declared: str):
 
 
 class _Slice(InputPartition):
-    def __init__(self, low: int, high: int):
+    def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high
 
 
@@ -53,9 +53,14 @@ class SqliteReader(DataSourceReader):
         self.path, self.table, self.schema = options["path"], options["table"], schema
 
     def partitions(self) -> list[InputPartition]:
+        """Ranges of rowid with SLICE rows each, wherever the numbers lie; a table without rowid is one partition."""
         with _opened(self.path) as db:
-            low, high = db.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {quoted(self.table)}").fetchone()
-        return [_Slice(a, min(a + SLICE, high + 1)) for a in range(low, high + 1, SLICE)] or [_Slice(0, 0)]
+            try:
+                cuts = [r[0] for r in db.execute(f"SELECT rowid FROM (SELECT rowid, row_number() OVER (ORDER BY rowid) AS n FROM {quoted(self.table)}) WHERE n % {SLICE} = 1 ORDER BY rowid")]
+                high = db.execute(f"SELECT max(rowid) FROM {quoted(self.table)}").fetchone()[0]
+            except sqlite3.OperationalError:
+                return [_Slice(None, None)]
+        return [_Slice(a, b) for a, b in zip(cuts, [*cuts[1:], high + 1])] if cuts else [_Slice(0, 0)]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
         casts = {LongType: int, DoubleType: float, StringType: str, BinaryType: bytes}
@@ -67,7 +72,9 @@ class SqliteReader(DataSourceReader):
                 return None
 
         with _opened(self.path) as db:
-            for row in db.execute(f"SELECT {', '.join(quoted(f.name) for f in self.schema)} FROM {quoted(self.table)} WHERE rowid >= ? AND rowid < ? ORDER BY rowid", (partition.low, partition.high)):
+            every = f"SELECT {', '.join(quoted(f.name) for f in self.schema)} FROM {quoted(self.table)}"
+            some = (every,) if partition.low is None else (f"{every} WHERE rowid >= ? AND rowid < ? ORDER BY rowid", (partition.low, partition.high))
+            for row in db.execute(*some):
                 yield tuple(value(x, f.dataType) for x, f in zip(row, self.schema))
 
 
@@ -104,6 +111,46 @@ def write_sqlite(df: DataFrame, path: str, table: str, ddl: str | None = None) -
         db.close()
 
 
+def update_sqlite(updates: DataFrame, path: str, table: str, column: str, key: str) -> int:
+    """Set a column by key in a database as it lies, from rows (key, value), in one transaction; the rows that changed."""
+    with _opened(path):
+        pass
+    db = sqlite3.connect(path)
+    try:
+        with db:
+            return db.executemany(f"UPDATE {quoted(table)} SET {quoted(column)} = ? WHERE {quoted(key)} = ?", ((r[1], r[0]) for r in updates.toLocalIterator())).rowcount
+    finally:
+        db.close()
+
+
+def read_table(spark: SparkSession, path: str, table: str | None = None) -> tuple[DataFrame, dict]:
+    """A table from a .json document or a SQLite database (by default its first table), and how to write it back."""
+    if path.lower().endswith(".json"):
+        df, layout = read_json_table(spark, path)
+        return df, {"format": "json", **layout}
+    table = table or next(iter(list_tables(path)), None)
+    if table is None:
+        raise ValueError(f"{path} has no table")
+    register(spark)
+    return spark.read.format("sqlite").option("table", table).load(path), {"format": "sqlite", "table": table, "ddl": table_sql(path, table)}
+
+
+def save_table(df: DataFrame, layout: dict, path: str, n_approved: int, form: str = "auto") -> str:
+    """Write a table in the format it came in, or as JSON; returns the format. Without an approved change nothing is written."""
+    if not n_approved:
+        raise ValueError("nothing is approved")
+    form = layout["format"] if form == "auto" else form
+    if form == "sqlite":
+        write_sqlite(df, path, layout["table"], layout.get("ddl"))
+    elif layout["format"] == "json":
+        write_json_table(df, layout, path)
+    else:  # a database as JSON: an array of objects, in the order of the rows
+        order = df.select(F.monotonically_increasing_id().alias("row_index"), *(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))).alias(c) for c in df.columns))
+        cells = order.select("row_index", *(F.to_json(F.expr(f"variant_get(parse_json(`{c}`), '$.v')")).alias(c) for c in df.columns))
+        write_json_table(cells, {"wrapper": None, "objects": True, "columns": df.columns}, path)
+    return form
+
+
 def read_json_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """A table in one JSON document, cells as JSON text, in column order; and its layout, for writing it back.
 
@@ -118,6 +165,10 @@ def read_json_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
         for w in WRAPPERS:
             inner = parsed.select(F.expr(f"variant_get(v, '$.{w}')").alias("v"))
             if inner.select(F.col("v").isNotNull()).first()[0]:
+                # what stands beside the rows is kept as it is, for writing it back
+                keys = document.select(F.json_object_keys("value")).first()[0]
+                beside = parsed.select(*(F.expr(f"to_json(variant_get(v, '$[\\'{k}\\']'))").alias(f"k{i}") for i, k in enumerate(keys) if k != w)).first() if len(keys) > 1 else {}
+                layout["beside"] = [(k, None if k == w else beside[f"k{i}"]) for i, k in enumerate(keys)]
                 parsed, layout["wrapper"] = inner, w
                 break
     rows = parsed.select(F.expr("posexplode(cast(v as array<variant>))")).toDF("row_index", "r")
@@ -143,14 +194,28 @@ def read_json_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 
 def write_json_table(table: DataFrame, layout: dict, path: str) -> None:
-    """The document in its layout again, two blanks a level. One document has one writer: the driver, row by row."""
+    """The document in its layout again, two blanks a level, with what stood beside the rows. One document has one writer:
+    the driver, row by row."""
+    around = layout.get("beside") or [(layout["wrapper"], None)]
     with open(path, "w", encoding="utf-8") as f:
-        f.write((f'{{\n  "{layout["wrapper"]}": ' if layout["wrapper"] else "") + "[")
-        for i, r in enumerate(table.orderBy("row_index").toLocalIterator()):
-            cells = [None if r[c] is None else json.loads(r[c]) for c in layout["columns"]]
-            row = dict(zip(layout["columns"], cells)) if layout["objects"] else cells
-            f.write(("," if i else "") + "\n  " + json.dumps(row, ensure_ascii=False))
-        f.write("\n]" + ("\n}" if layout["wrapper"] else ""))
+        def rows() -> None:
+            f.write("[")
+            for i, r in enumerate(table.orderBy("row_index").toLocalIterator()):
+                cells = [None if r[c] is None else json.loads(r[c]) for c in layout["columns"]]
+                row = dict(zip(layout["columns"], cells)) if layout["objects"] else cells
+                f.write(("," if i else "") + "\n  " + json.dumps(row, ensure_ascii=False))
+            f.write("\n]")
+
+        if not layout["wrapper"]:
+            rows()
+            return
+        for i, (key, value) in enumerate(around):
+            f.write(("," if i else "{") + f"\n  {json.dumps(key, ensure_ascii=False)}: ")
+            if key == layout["wrapper"]:
+                rows()
+            else:
+                f.write("null" if value is None else json.dumps(json.loads(value), ensure_ascii=False))
+        f.write("\n}")
 
 
 def guess_column(names: list[str], *patterns: str) -> str | None:

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from citeweave.functions.text import LATIN
 from citeweave.operators import corpus as C
-from citeweave.operators import extract, render, review
+from citeweave.operators import extract, match, render, review
 from citeweave.plans import engine
 
 VERSES = [(1, 2, "الْحَمْدُ لِلَّهِ رَبِّ الْعَالَمِينَ"), (1, 3, "الرَّحْمَنِ الرَّحِيمِ"), (1, 4, "مالك يوم الدين"), (1, 5, "اياك نعبد واياك نستعين"), (2, 1, "الم"), (43, 1, "حم"), (43, 2, "وَالْكِتَابِ الْمُبِينِ"), (44, 1, "حم"), (55, 13, "فَبِأَيِّ آلَاءِ رَبِّكُمَا تُكَذِّبَانِ"), (55, 47, "فَبِأَيِّ آلَاءِ رَبِّكُمَا تُكَذِّبَانِ"), (6, 84, "وَوَهَبْنَا لَهُ إِسْحَاقَ وَيَعْقُوبَ")]
@@ -13,6 +14,10 @@ ROWS = [
     ("G3", "(و وهبنا له اسحاق ويعقوب)", None, None),
     ("G4", "(الحمد لله رب العالمين الرحمن )", None, None),
     ("G9", "(مالك يوم الدين اياك نعبد)", None, None),
+    ("G2", "(الحمد رب العالمين الرحمن )", None, None),
+    ("G10", "(مالك يوم اياك نعبد)", None, None),
+    ("groups", "(مالك يوم الدين والكتاب المبين)", None, None),
+    ("glued", "(الحمدلله رب العالمين)", None, None),
     ("G15", "(الحمد)", None, None),
     ("G16", "(حم والكتاب المبين)", None, None),
     ("G17", "(فبأي آلاء ربكما تكذبان)", "55", "47"),
@@ -44,6 +49,10 @@ def test_golden_cases(spark, corpus):
     assert got["G3"].modified_text.startswith("﴿وَوَهَبْنَا")
     assert got["G4"].modified_text == two and got["G4"].average_confidence == 98
     assert got["G9"].modified_text.endswith("[الفاتحة: ٤-٥]")
+    assert got["G2"].modified_text == two and got["G2"].average_confidence == 93
+    assert got["G10"].modified_text == "﴿مالك يوم الدين (٤) اياك نعبد واياك نستعين (٥)﴾ [الفاتحة: ٤-٥]"
+    assert got["groups"].modified_text == "﴿مالك يوم الدين﴾ [الفاتحة: ٤]\n﴿وَالْكِتَابِ الْمُبِينِ﴾ [سورة 43: ٢]" and got["groups"].total_verses == 2
+    assert got["glued"].modified_text == one and got["glued"].average_confidence == 95
     assert got["G16"].modified_text.endswith("[سورة 43: ١-٢]")
     assert got["G17"].modified_text.endswith("٤٧]") and got["G17"].ambiguous == 1 and got["G17"].average_confidence == 100
     assert got["G18"].modified_text.endswith("١٣]") and got["G18"].average_confidence == 92
@@ -54,6 +63,89 @@ def test_golden_cases(spark, corpus):
         assert got[k].modified_text == dict((r[0], r[1]) for r in ROWS)[k] and got[k].n_replacements == 0
     again = run(spark, corpus, [(k, r.modified_text, None, None) for k, r in got.items() if k not in ("G17",)])
     assert all(again[k].modified_text == got[k].modified_text for k in again)
+    assert engine.format_text("(الحمد لله رب العالمين)", corpus, engine.Config(names={1: "الفاتحة"})) == one
+
+
+def test_alignment_and_walks():
+    """Word edits against brute force over which words are left out; the order in which steps are tried."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+
+    def brute(words, verse, most):
+        best = None
+        for n in range(len(words) + 1):
+            # lost words of the verse and words too many within words[:n], the rest equal
+            for lost in range(most + 1):
+                for v in itertools.combinations(range(len(verse)), len(verse) - lost):
+                    left = [verse[i] for i in v]
+                    for w in itertools.combinations(range(n), len(left)) if n - len(left) + lost <= most and n >= len(left) else ():
+                        if [words[i] for i in w] == left and (best is None or (lost + n - len(left), -n) < best):
+                            best = (lost + n - len(left), -n)
+        return best and (best[0], -best[1])
+
+    for _ in range(200):
+        verse = [rng.choice("abcd") for _ in range(rng.randint(2, 6))]
+        words = [w for w in verse if rng.random() > 0.15]
+        words[rng.randint(0, len(words)) :] = [rng.choice("abcd") for _ in range(rng.randint(0, 3))]
+        assert match.word_edits(words, verse) == brute(words, verse, 2)
+    assert match.word_edits(["one", "tvelve", "two"], ["one", "twelve", "two"]) == (1, 3)
+    e = lambda pos, size, c, v, errors=0, begun=False: {"pos": pos, "size": size, "chapter": c, "verse": v, "v_idx": c * 100 + v, "errors": errors, "begun": begun}
+    # of two equal openings, the one that goes on
+    assert [x[:2] for x in match.walk(3, [e(0, 1, 1, 1), e(0, 1, 2, 1), e(1, 2, 2, 2)], None)] == [(2, 1), (2, 2)]
+    # the next verse with an edit before a longer one elsewhere; the budget of three edits for the whole
+    assert [x[:2] for x in match.walk(4, [e(0, 2, 1, 1), e(2, 2, 1, 2, 1), e(2, 2, 9, 9)], None)] == [(1, 1), (1, 2)]
+    assert match.walk(6, [e(0, 3, 1, 1, 2), e(3, 3, 1, 2, 2)], None) is None
+    assert match.walk(3, [e(0, 2, 1, 1), e(2, 0, 1, 2, 0, True)], None)[-1][-1] and match.walk(3, [e(0, 2, 1, 1)], None) is None
+
+
+def test_fuzzy_and_gaps_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(25)]
+    verses = [(1, i + 1, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(4, 9)))) for i in range(30)]
+    corpus = C.from_records(spark.createDataFrame(verses, "sura int, aya int, ayahImlai string"), LATIN).cache()
+    texts = []
+    for i, (_, _, t) in enumerate(verses):
+        w = t.split()[: rng.randint(3, 6)]
+        w[1] = w[1][:-1] + "z"
+        texts.append((i, " ".join(w)))
+    cands = match.candidates(spark.createDataFrame(texts, "id long, text string"), LATIN)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for i, q in texts:
+        n, best = len(q.split()), None
+        for v, (_, a, t) in enumerate(verses):
+            for s in range(len(t.split()) - n + 1):
+                w = " ".join(t.split()[s : s + n])
+                x, y, d = set(q.split()), set(w.split()), distance(q, w)
+                score = min(100, 100 * (1 if q == w else 0.5 * len(x & y) / len(x | y) + 0.5 * (1 - d / max(len(q), len(w)))) + (10 if d <= 2 else 0))
+                if x & y and score >= 85 and (best is None or (-score, v, s) < best):
+                    best = (-score, v, s)
+        if best:
+            want[i] = (best[1] + 1, best[2])
+    got = {r.id: (r.verse, r.start) for r in match.fuzzy(cands, corpus).collect()}
+    assert got == want and len(want) > 10
+    # in order, gaps allowed, from the first word's first place
+    gaps = match.candidates(spark.createDataFrame([(i, " ".join(t.split()[::2])) for i, (_, _, t) in enumerate(verses)], "id long, text string"), LATIN)
+    hits = {(r.id, r.verse) for r in match.subsequence_hits(gaps, corpus).collect()}
+    for i, (_, _, t) in enumerate(verses):
+        q = t.split()[::2]
+        for _, a, v in verses:
+            words = v.split()
+            if q[0] in words:
+                it = iter(words[words.index(q[0]) :])
+                assert ((i, a) in hits) == all(x in it for x in q)
 
 
 def test_empty_corpus_and_bad_records(spark):
@@ -91,6 +183,40 @@ def test_review(spark):
     assert review.paged(f, 2, [F.col("row_index"), F.col("start")], 2).count() == 1
 
 
+def test_review_of_many(spark):
+    rows = [(1, 0, 5, "ب", "x", 100, "ب"), (1, 9, 12, "ا", "y", 70, "ا"), (2, 0, 5, "ت", "ت", 9, "ت")]
+    f = spark.createDataFrame(rows, "row_index int, start int, end int, original string, formatted string, confidence int, chapter_name string")
+    assert [r.original for r in f.orderBy(*review.order_by(f, "before")).collect()] == ["ا", "ب", "ت"]
+    assert [r.confidence for r in f.orderBy(*review.order_by(f, "confidence", True)).collect()] == [100, 70, 9]
+    gone = review.rejected_all(f, None, "lowConf")
+    assert gone.count() == 2 and review.rejected_all(f, gone, "all").count() == 3
+    assert tuple(review.approval_counts(f, gone).first()) == (1, 3)
+    assert f.select(F.col("confidence")).count() == 3 and [r[0] for r in f.select(text_clamp()).collect()] == [80, 70, 20]
+
+
+def text_clamp():
+    from citeweave.functions.text import clamp
+
+    return clamp(F.col("confidence"), 20, 80)
+
+
+def test_votes_of_neighbours(spark, corpus):
+    """A doubtful quotation is read again with the chapter that its sure neighbours name."""
+    got = run(spark, corpus, [("v", "(والكتاب المبين) (حم والكتاب المبين) (حم والكتاب)", None, None)])["v"]
+    assert "[سورة 43: ٢]" in got.modified_text and "44" not in got.modified_text
+
+
+def test_documents_of_reports(spark, tmp_path):
+    import json
+
+    f = spark.createDataFrame([(1, 0, "a", 90), (1, 5, '"', 70)], "row_index int, start int, original string, confidence int").withColumns({"verse_count": F.lit(1), "ambiguous": F.lit(False)})
+    review.write_document(review.csv_report(f, ["original"]), str(tmp_path / "c.csv"), "\r\n")
+    assert (tmp_path / "c.csv").read_bytes().decode() == '\ufeff"original"\r\n"a"\r\n""""'
+    review.write_json_document(f, str(tmp_path / "r.json"), "2026-01-01T00:00:00Z", {"source": "s"}, ["original"])
+    got = json.load(open(tmp_path / "r.json"))
+    assert got["generatedAt"].startswith("2026") and got["summary"]["source"] == "s" and got["summary"]["replacements"] == 2 and got["rows"] == [{"original": "a"}, {"original": '"'}]
+
+
 def test_reports(spark, tmp_path):
     f = spark.createDataFrame([(2, 0, "a<b", 90), (1, 5, "=x", 70), (1, 0, None, 80)], "row_index int, start int, original string, confidence int").withColumns({"verse_count": F.lit(1), "ambiguous": F.lit(False)})
     review.write_report(review.csv_report(f, ["original", "confidence"]), str(tmp_path / "c"), "\r\n")

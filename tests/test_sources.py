@@ -32,14 +32,17 @@ def test_sqlite(spark, tmp_path):
         S.list_tables(str(tmp_path / "no.db"))
 
 
-@pytest.mark.parametrize("doc", [[[1, 3, "t", None, "1-7"], [2]], [{"SuraID": 1, "t": "x", "n": {"a": [1]}}, {"t": None, "z": True}], {"data": [[1, 2, "q"]]}])
+@pytest.mark.parametrize("doc", [[[1, 3, "t", None, "1-7"], [2]], [{"SuraID": 1, "t": "x", "n": {"a": [1]}}, {"t": None, "z": True}], {"data": [[1, 2, "q"]]}, {"name": "x", "rows": [[1, 2, "q"]], "meta": {"v": [1, None]}, "none": None}])
 def test_json_table(spark, tmp_path, doc):
     path, out = str(tmp_path / "a.json"), str(tmp_path / "b.json")
     open(path, "w").write(json.dumps(doc))
     df, layout = S.read_json_table(spark, path)
     S.write_json_table(df, layout, out)
     got = json.load(open(out))
-    inner, want = (got["data"], doc["data"]) if isinstance(doc, dict) else (got, doc)
+    key = layout["wrapper"]
+    inner, want = (got[key], doc[key]) if isinstance(doc, dict) else (got, doc)
+    if isinstance(doc, dict):  # what stands beside the rows stays, in its order
+        assert list(got) == list(doc) and {k: v for k, v in got.items() if k != key} == {k: v for k, v in doc.items() if k != key}
     for a, b in zip(inner, want):
         if isinstance(b, dict):
             assert {k: v for k, v in a.items() if v is not None} == {k: v for k, v in b.items() if v is not None}
@@ -84,3 +87,57 @@ def test_docx(spark, tmp_path):
     assert zipfile.ZipFile(io.BytesIO(out)).read("other.bin") == b"keep"
     with pytest.raises(ValueError):
         D.docx_paragraphs(b"no zip")
+
+
+def test_sqlite_odd_keys_updates_and_saves(spark, tmp_path):
+    path = str(tmp_path / "a.db")
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE t (ID INTEGER PRIMARY KEY, AyahText TEXT)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", [(-5, "a"), (2, "b"), (9_000_000_000_000, "c")])
+    db.execute("CREATE TABLE w (k TEXT PRIMARY KEY, v TEXT) WITHOUT ROWID")
+    db.execute("INSERT INTO w VALUES ('x', 'y')")
+    db.commit()
+    db.close()
+    df, layout = S.read_table(spark, path)
+    assert layout["format"] == "sqlite" and layout["table"] == "t"
+    assert sorted(tuple(r) for r in df.collect()) == [(-5, "a"), (2, "b"), (9_000_000_000_000, "c")]
+    assert [tuple(r) for r in S.read_table(spark, path, "w")[0].collect()] == [("x", "y")]
+    assert S.update_sqlite(spark.createDataFrame([(2, "B"), (77, "no")], "k long, v string"), path, "t", "AyahText", "ID") == 1
+    assert sqlite3.connect(path).execute("SELECT AyahText FROM t ORDER BY ID").fetchall() == [("a",), ("B",), ("c",)]
+    with pytest.raises(ValueError):
+        S.save_table(df, layout, str(tmp_path / "no.db"), 0)
+    assert S.save_table(df, layout, str(tmp_path / "b.db"), 1) == "sqlite" and S.list_tables(str(tmp_path / "b.db")) == ["t"]
+    assert S.save_table(df.orderBy("ID"), layout, str(tmp_path / "b.json"), 1, "json") == "json"
+    assert json.load(open(tmp_path / "b.json"))[0] == {"ID": -5, "AyahText": "a"}
+    doc, layout = S.read_table(spark, str(tmp_path / "b.json"))
+    assert layout["format"] == "json" and doc.count() == 3
+
+
+def test_documents_are_routed_and_saved(spark, tmp_path):
+    xml = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>one</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>two</w:t></w:r></w:p></w:body></w:document>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", xml)
+    (tmp_path / "b.txt").write_text("PK first\n\nsecond", encoding="utf-8")
+    (tmp_path / "c.other").write_text("third", encoding="utf-8")
+    before = D.read_document(spark, str(tmp_path)).cache()
+    name = lambda p: p.rsplit("/", 1)[1]
+    assert sorted((name(r.path), r.paragraph, r.text) for r in before.collect()) == [("a.docx", 1, "one"), ("a.docx", 2, "two"), ("b.txt", 1, "PK first"), ("b.txt", 2, "second"), ("c.other", 1, "third")]
+    assert D.as_table(before).columns[:3] == ["ص", "الفقرة", "AyahText"]
+    after = before.withColumn("text", F.when(F.col("text") == "two", "2").when(F.col("text") == "second", "2nd").otherwise(F.col("text")))
+    got = {name(r.path): bytes(r.content) for r in D.save_documents(spark, str(tmp_path), before, after).collect()}
+    assert [x["text"] for x in D.docx_paragraphs(got["a.docx"])] == ["one", "2"]
+    assert got["b.txt"].decode() == "\ufeffPK first\n\n2nd" and set(got) == {"a.docx", "b.txt", "c.other"}
+
+
+def test_corpus_files(spark, tmp_path):
+    from citeweave.operators import corpus as C
+
+    good = [{"surah_num": 1, "ayah_num": 1, "ayah_imlai": "الحمد لله", "ayah_notashkil": "الحمد ل لله"}, {"surah_num": 1, "ayah_num": 1, "ayah_imlai": "رب العالمين"}]
+    (tmp_path / "good.json").write_text(json.dumps({"verses": good}), encoding="utf-8")
+    (tmp_path / "bad.json").write_text("[]", encoding="utf-8")
+    with pytest.warns(UserWarning):
+        assert C.auto_load(spark, [str(tmp_path / "none.json"), str(tmp_path / "bad.json")]) is None
+    path, corpus = C.auto_load(spark, [str(tmp_path / "none.json"), str(tmp_path / "bad.json"), str(tmp_path / "good.json")])
+    assert path.endswith("good.json") and [r.norm for r in corpus.orderBy("v_idx").collect()] == ["الحمد لله", "رب العالمين"]
+    assert corpus.orderBy("v_idx").first().alias == "الحمد ل لله"
+    assert [r.norm for r in C.by_key(corpus).collect()] == ["رب العالمين"]  # the last of a key that comes twice
