@@ -79,15 +79,15 @@ def resolved(cands: DataFrame, corpus: DataFrame, cfg: Config) -> DataFrame:
 
     In order: verses end to end, a whole verse, a verse but for weak letters, a run of words, a beginning. With correction
     also: verses end to end with words lost, added or mistyped; a word glued, cut, lost or replaced; the most alike window.
+    corpus: a table that is read many times, so best a stored one.
     The first to reach confidence 100 wins; of the others the surest, then the earlier.
     """
-    corpus = kept(corpus, "corpus")
     some = kept(cands.filter(F.size("tokens") >= 2), "candidates")
     runs, ends = kept(match.verse_runs(some, corpus), "runs"), kept(match.begun(some, corpus), "begun")
     tied = match.chains(some, corpus, runs=runs).join(some.select("id", F.size("tokens").alias("n")), "id").filter("pos = 0 and end = n").groupBy("id").agg((F.count("*") > 1).alias("ambiguous"))
     walks = match.walked(some, runs, None, ends, cfg.correct).filter(F.size("steps") > 1).join(tied, "id", "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
     parts = [(walks, "chain"), (match.exact(some, corpus), "exact"), (match.by_skeleton(some, corpus), "skeleton"), (match.contiguous(some, corpus), "run"), (match.prefix(some, corpus), "prefix")]
-    sure = kept(_union([kept(_hits(df, i, kind), kind) for i, (df, kind) in enumerate(parts)]), "sure")
+    sure = kept(_union([_hits(df, i, kind) for i, (df, kind) in enumerate(parts)]), "sure")
     if cfg.correct:
         rest = kept(some.filter(F.size("tokens") <= cfg.longest_fuzzy).join(sure.select("id").distinct(), "id", "left_anti"), "rest")
         if not rest.isEmpty():
@@ -102,8 +102,8 @@ def resolved(cands: DataFrame, corpus: DataFrame, cfg: Config) -> DataFrame:
             other = match.picked(match.one_substituted(rest, corpus).join(n, "id")).withColumn("size", F.col("n")).withColumn("confidence", T.rounded(100 * (F.col("n") - 1) / F.col("n"))).withColumn("partial", F.lit(True))
             fuzzy = match.fuzzy(rest, corpus).withColumn("partial", F.lit(True))
             late = [(fixed, "repaired"), (form, "form"), (gap, "missing"), (other, "substituted"), (fuzzy, "fuzzy")]
-            late = [kept(_hits(df, 5 + i, kind), kind) for i, (df, kind) in enumerate(late)]
-            sure = sure.unionByName(_union(late).filter("confidence >= 85 or kind = 'missing'"))
+            late = kept(_union([_hits(df, 5 + i, kind) for i, (df, kind) in enumerate(late)]), "late")
+            sure = sure.unionByName(late.filter("confidence >= 85 or kind = 'missing'"))
     best = Window.partitionBy("id").orderBy(F.desc(F.col("confidence") == 100), F.when(F.col("confidence") == 100, F.col("ord")), F.desc("confidence"), "ord")
     return kept(sure.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place"), "resolved")
 

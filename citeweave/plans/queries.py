@@ -14,6 +14,7 @@ from citeweave.functions import text as T
 from citeweave.operators import corpus as C
 from citeweave.operators import extract, match, render, review
 from citeweave.plans import engine
+from citeweave.plans.store import kept
 from citeweave.sources import documents as docs_io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,10 +329,10 @@ def corpus_by_key(spark, sf):
 
 
 @query(f"""WITH {VERSES}, q AS (SELECT v_idx AS id, list_concat(list_slice(tokens, 1, 2), [tokens[3] || 'x'], list_slice(tokens, 4, len(tokens))) AS q FROM corpus WHERE len(tokens) >= 5),
-g AS (SELECT id, q, unnest(range(1, len(q) - 1)) AS at FROM q), s AS (SELECT v_idx, chapter, verse, tokens, unnest(range(0, len(tokens) - 2)) AS p FROM corpus WHERE len(tokens) >= 3)
-SELECT id, chapter, verse, p - at + 1 AS start, at AS place, tokens[p + 2] AS word FROM g JOIN s ON q[at] = tokens[p + 1] AND q[at + 2] = tokens[p + 3]
-WHERE p - at + 1 >= 0 AND p - at + 1 + len(q) <= len(tokens) AND list_slice(tokens, p - at + 2, p + 1) = list_slice(q, 1, at) AND list_slice(tokens, p + 3, p - at + 1 + len(q)) = list_slice(q, at + 2, len(q))
-  AND q[at + 1] <> tokens[p + 2] AND 1 - levenshtein(q[at + 1], tokens[p + 2]) / greatest(length(q[at + 1]), length(tokens[p + 2])) >= 0.5""")
+g AS (SELECT id, q, unnest(range(1, len(q) - 1)) AS spot FROM q), s AS (SELECT v_idx, chapter, verse, tokens, unnest(range(0, len(tokens) - 2)) AS p FROM corpus WHERE len(tokens) >= 3)
+SELECT id, chapter, verse, p - spot + 1 AS start, spot AS place, tokens[p + 2] AS word FROM g JOIN s ON q[spot] = tokens[p + 1] AND q[spot + 2] = tokens[p + 3]
+WHERE p - spot + 1 >= 0 AND p - spot + 1 + len(q) <= len(tokens) AND list_slice(tokens, p - spot + 2, p + 1) = list_slice(q, 1, spot) AND list_slice(tokens, p + 3, p - spot + 1 + len(q)) = list_slice(q, spot + 2, len(q))
+  AND q[spot + 1] <> tokens[p + 2] AND 1 - levenshtein(q[spot + 1], tokens[p + 2]) / greatest(length(q[spot + 1]), length(tokens[p + 2])) >= 0.5""")
 def substituted_word(spark, sf):
     other = lambda text, toks: F.when(F.size(toks) >= 5, F.array_join(F.transform(toks, lambda t, i: F.when(i == 2, F.concat(t, F.lit("x"))).otherwise(t)), " ")).otherwise("")
     hits = match.one_substituted(verse_candidates(spark, sf, other), corpus(spark, sf))
@@ -341,12 +342,12 @@ def substituted_word(spark, sf):
 @query(f"""WITH {VERSES} SELECT a.v_idx AS id, a.chapter, a.verse AS first_verse, b.verse AS last_verse, 96::BIGINT AS confidence FROM corpus a JOIN corpus b ON a.chapter = b.chapter AND b.verse = a.verse + 1 WHERE len(a.tokens) >= 5""")
 def repaired_pairs(spark, sf):
     """Two neighbouring verses as one quotation, the third word lost: read as both, with one edit."""
-    v = corpus(spark, sf)
+    v = kept(corpus(spark, sf), "corpus")
     two = C.following(v, "chapter", "verse", ["text"]).filter("next_text is not null and size(tokens) >= 5")
     made = two.select(F.col("v_idx").alias("id"), F.concat_ws(" ", F.array_join(F.filter("tokens", lambda t, i: i != 2), " "), "next_text").alias("text"))
-    cands = match.candidates(made, T.LATIN)
-    runs = match.verse_runs(cands, v)
-    steps = match.walked(cands, runs, match.repairs(cands, v, runs), match.begun(cands, v))
+    cands = kept(match.candidates(made, T.LATIN), "candidates")
+    runs = kept(match.verse_runs(cands, v), "runs")
+    steps = match.walked(cands, runs, match.repairs(cands, v, runs, kept), match.begun(cands, v))
     out = match.groups(steps.select("id", "steps", "confidence"))
     return out.select("id", "chapter", F.col("verse").cast("long").alias("first_verse"), F.col("end_verse").cast("long").alias("last_verse"), F.col("confidence").cast("long").alias("confidence"))
 
@@ -567,7 +568,7 @@ def process_rows(spark, sf):
 @query()
 def cascade_best(spark, sf):
     """The reading that the cascade picks for each verse with a word reversed, a word left out, or cut short."""
-    v, cfg = corpus(spark, sf), engine.Config(profile=T.LATIN)
+    v, cfg = kept(corpus(spark, sf), "corpus"), engine.Config(profile=T.LATIN)
     toks = F.col("tokens")
     cut = F.array_join(F.slice(toks, F.lit(1), F.floor((F.size(toks) + 1) / 2).cast("int")), " ")
     made = v.select(F.explode(F.array(*(F.struct((F.col("v_idx") * 10 + i).alias("id"), x.alias("text")) for i, x in enumerate((F.col("text"), _swapped(None, toks), _without_third(None, toks), cut))))).alias("x")).select("x.*")
@@ -579,5 +580,5 @@ def cascade_best(spark, sf):
 def cascade_documents(spark, sf):
     """The cascade without correction over every sentence of the documents, equal ones once."""
     made = sentences(spark, sf).groupBy("norm").agg(F.min("text").alias("text")).select(F.xxhash64("norm").alias("id"), "text")
-    out = engine.resolved(match.candidates(made, T.LATIN), corpus(spark, sf), engine.Config(profile=T.LATIN, correct=False))
+    out = engine.resolved(match.candidates(made, T.LATIN), kept(corpus(spark, sf), "corpus"), engine.Config(profile=T.LATIN, correct=False))
     return out.select("id", "kind", "chapter", "verse", "end_verse", "confidence", "ambiguous")
