@@ -5,9 +5,11 @@ and equal words once. Words of equal length advance together, character by chara
 there probe the sorted keys of the pieces, and vectorised maxima over the pieces' scores store backpointers. Of equal
 sums the longer last piece wins. A character without a piece goes as the bytes of its UTF-8.
 
-The public vocabulary at hand holds a BPE model, whose scores are the negated ranks of its merges. The best sum of these
-scores isn't always what merging in order gives, so ids can differ from those of the sentencepiece library; decoding
-gives the text back exactly in any case.
+The public vocabulary at hand holds a BPE model, whose scores are the negated ranks of its merges, no probabilities. A
+piece's rank is read as its rank by frequency, and its score is the logarithm of a Zipf-Mandelbrot probability of that
+rank; nothing is trained. The best sum isn't always what merging in order gives, so ids can differ from those of the
+sentencepiece library (figures are in the README); decoding gives the text back exactly in any case. A vocabulary whose
+scores aren't ranks keeps them.
 
 Nulls: a null text is empty; an empty text has no ids. Repeated rows are encoded each. Spaces are all kept, and so is a
 literal U+2581 (as bytes). An empty table gives no rows. Other columns stay where `keep` asks for them.
@@ -31,8 +33,10 @@ from .common import Texts, prefix_hash, ragged, released, slices, small_batches,
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a space within pieces, and of a literal U+2581, which no piece has.
 SPACE, LITERAL = 0x2581, 0x110000
+#: Offset of the ranks in the Zipf-Mandelbrot law.
+OFFSET = 60
 #: Longest word that is advanced with others, words that a task keeps encoded, and the score of a byte over the least of a piece.
-BATCHED, CACHED, BYTE = 64, 80_000, -10.0
+BATCHED, CACHED, BYTE = 64, 300_000, -10.0
 _MULT = 0x9E3779B97F4A7C15 | 1
 
 
@@ -45,6 +49,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def log_probabilities(scores: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    """Scores that are negated ranks as logarithms of Zipf-Mandelbrot probabilities; others as they are."""
+    rank = -scores[normal]
+    if not len(rank) or (rank < 0).any() or (rank != np.floor(rank)).any():
+        return scores
+    out = scores.copy()
+    out[normal] = -np.log(rank + OFFSET) - np.log((1 / (rank + OFFSET)).sum())
+    return out
+
+
 @dataclass
 class Vocabulary:
     """Pieces of a SentencePiece model; its size is fixed, so it goes to all tasks."""
@@ -64,7 +78,7 @@ class Vocabulary:
         pieces = [sp.id_to_piece(i) for i in range(n)]
         normal = np.array([not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)])
         byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
-        own = Vocabulary(pieces, np.array([sp.get_score(i) for i in range(n)], np.float64), normal, byte_ids)
+        own = Vocabulary(pieces, log_probabilities(np.array([sp.get_score(i) for i in range(n)], np.float64), normal), normal, byte_ids)
         if any("▁" in p.lstrip("▁") for p, x in zip(pieces, normal) if x):
             raise ValueError("a piece goes over the start of a word")
         by_length: dict[int, list[int]] = {}
@@ -226,39 +240,55 @@ class Characters:
 
 
 class Encoder:
-    """Encodes words by their hashes; keeps those seen, up to a bound."""
+    """Encodes words by their hashes; keeps those seen in sorted arrays, up to a bound, those met again longest."""
 
     def __init__(self, vocabulary: Vocabulary, spaced: bool = False):
         self.vocabulary, self.spaced = vocabulary, spaced
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.at, self.size, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.hashes, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again, self.flat = np.zeros(0, bool), np.zeros(0, np.int32)
 
     def words(self, hashes: np.ndarray, chars: Characters, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The number of each word (distinct hashes, with a place of each in bytes), valid until the next call."""
-        if len(self.known) + len(hashes) > CACHED:
-            self._clear()
-        listed = hashes.tolist()
-        get = self.known.get
-        number = np.array([get(h, -1) for h in listed], np.int64)
-        new = np.flatnonzero(number < 0)
+        """The number of each word (distinct hashes in order, with a place of each in bytes), valid until the next call.
+
+        ids[at[number]: at[number] + size[number]] are its ids.
+        """
+        if len(self.hashes):
+            spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            new = np.flatnonzero(self.hashes[spot] != hashes)
+            self.again[spot[self.hashes[spot] == hashes]] = True
+        else:
+            new = np.arange(len(hashes))
         if len(new):
-            first = chars.at[start[new]]
-            flat, size = self.vocabulary.encode_points(chars.points, first, chars.at[end[new]] - first, self.spaced)
-            n = len(self.known)
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(new) > len(self.at):
-                self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.size[n : n + len(new)] = size
-            self.at[n : n + len(new)] = self.used + np.cumsum(size) - size
-            self.used += len(flat)
-            number[new] = np.arange(n, n + len(new))
-            self.known.update((listed[k], n + i) for i, k in enumerate(new.tolist()))
-        return number
+            if len(self.hashes) + len(new) > CACHED:
+                self._keep(self.again if self.again.sum() <= CACHED // 2 else np.isin(self.hashes, hashes, assume_unique=True))
+            low = chars.at[start[new]]
+            flat, size = self.vocabulary.encode_points(chars.points, low, chars.at[end[new]] - low, self.spaced)
+            both = np.concatenate([self.hashes, hashes[new]])
+            order = np.argsort(both, kind="stable")
+            self.hashes = both[order]
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])[order]
+            self.count = np.concatenate([self.count, size])[order]
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])[order]
+            self.flat = np.concatenate([self.flat, flat])
+        return np.searchsorted(self.hashes, hashes)
+
+    def _keep(self, some: np.ndarray) -> None:
+        """Only these words; the ones of the slice at hand are always among them."""
+        self.flat = self.flat[ragged(self.first[some], self.count[some])]
+        self.hashes, self.count = self.hashes[some], self.count[some]
+        self.first, self.again = np.cumsum(self.count) - self.count, np.zeros(len(self.hashes), bool)
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self.flat
+
+    @property
+    def at(self) -> np.ndarray:
+        return self.first
+
+    @property
+    def size(self) -> np.ndarray:
+        return self.count
 
 
 def shipped(spark: SparkSession, path: str = MODEL) -> Broadcast:
