@@ -67,8 +67,29 @@ def text_key():
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+#: Bits of a filter that goes to all tasks (8 MB), whatever the number of keys.
+FILTER = 26
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size with a bit for the first bits of each key (64-bit hashes). What it lets through by chance
+    has to be dropped by a join, so it decides about speed only."""
+    slot = F.shiftrightunsigned(column, 64 - FILTER)
+    marks = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("b")).toArrow()  # as many rows as the bitmap has words, at most
+    bits = np.zeros(1 << (FILTER - 6), np.uint64)
+    bits[marks.column("w").to_numpy()] = marks.column("b").to_numpy().view(np.uint64)
+    return bits.view(np.uint8)
+
+
 # --- inside tasks -----------------------------------------------------------------------------
 
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes a filter lets through."""
+    slot = h >> np.uint64(64 - FILTER)
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 _MULT = 0x9E3779B97F4A7C15 | 1
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 _POW = np.ones(1, np.uint64)

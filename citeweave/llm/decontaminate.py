@@ -23,13 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Texts, gram_hash, prefix_hash, slices, span_hash, stored
+from .common import ALNUM, Texts, gram_hash, key_filter, passes, prefix_hash, slices, span_hash, stored
 
 #: One word in so many may be edited: similarity 0.8.
 SHARE = 5
-#: Bits of the bitmap that goes to all tasks (8 MB), whatever the number of items.
-BITMAP = 26
-
 
 def pieces_of(n: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of an item of n words."""
@@ -70,9 +67,7 @@ def _hits(bitmap, sizes: list[int], reach: int):
             at, hashes, size = [], [], []
             for k in sizes:
                 h = gram_hash(word, k)
-                slot = h >> np.uint64(64 - BITMAP)
-                seen = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-                hit = np.flatnonzero((seen == 1) & (doc[: len(h)] == doc[len(doc) - len(h) :]))
+                hit = np.flatnonzero(passes(bits, h) & (doc[: len(h)] == doc[len(doc) - len(h) :]))
                 at.append(hit)
                 hashes.append(h[hit])
                 size.append(np.full(len(hit), k, np.int32))
@@ -149,16 +144,11 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The best place of each item in each document that holds it: doc_id, key, item_id, n_words, distance, first_word, end_word."""
     spark = docs.sparkSession
     parts = stored(pieces(items), "pieces")
-    slot = F.shiftrightunsigned("hash", 64 - BITMAP)
-    marks = parts.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("b"))
-    bits = np.zeros(1 << (BITMAP - 6), np.uint64)
-    for w, b in marks.toLocalIterator():  # as many rows as the bitmap has words, at most
-        bits[w] = b & 0xFFFFFFFFFFFFFFFF
     shape = parts.agg(F.collect_set("size"), F.max(F.size("words"))).first()
     sizes, longest = sorted(shape[0]), shape[1] or 0
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"), F.col("text").alias("_text"))
-    bitmap = spark.sparkContext.broadcast(bits.view(np.uint8))
+    bitmap = spark.sparkContext.broadcast(key_filter(parts, "hash"))
     hits = texts.mapInArrow(_hits(bitmap, sizes, longest + longest // SHARE), f"doc_id {kind}, key long, hash long, size int, pos long, low long, around array<long>")
     near = hits.join(parts, ["hash", "size"]).withColumn("place", F.col("pos") - F.col("at"))
     # hits of one item at one place are verified once
