@@ -312,7 +312,7 @@ def removals(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES
     places = stored(found.join(often, "h"), "places")
     distinct = stored(places.groupBy("h", "seg", "n").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start")).alias("x")), "distinct")
     meet = distinct.groupBy("h").agg(F.count("*").alias("d"), F.sum(F.col("n") + width - 1).alias("bytes")).filter("d > 1")
-    mixed = distinct.join(meet, "h")
+    mixed = distinct.join(stored(meet, "meet"), "h")
     sub = F.when(F.col("bytes") <= crowd_bytes, -1).otherwise(F.pmod(F.xxhash64("seg"), F.ceil(F.col("bytes") / crowd_bytes))).cast("int")
     bands = F.ceil(F.col("bytes") / BAND_BYTES).cast("int")
     want = mixed.select("x.*", "h", sub.alias("sub"), bands.alias("bands"), "seg", "n").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "h", "sub", "bands", "seg")).alias("want"))  # bounded by the text
