@@ -37,6 +37,9 @@ SPACE, LITERAL = 0x2581, 0x110000
 OFFSET = 60
 #: Longest word that is advanced with others, words that a task keeps encoded, and the score of a byte over the least of a piece.
 BATCHED, CACHED, BYTE = 64, 300_000, -10.0
+#: First bits of a hash by which the first key with them is known.
+SEEN = 18
+SEEN_SHIFT = np.uint64(64 - SEEN)
 _MULT = 0x9E3779B97F4A7C15 | 1
 
 
@@ -88,9 +91,10 @@ class Vocabulary:
             points = np.frombuffer("".join(pieces[i] for i in ids).encode("utf-32-le"), np.uint32).reshape(len(ids), size)
             keys = own._hash(points, 0, size)
             order = np.argsort(keys)
-            seen = np.zeros(1 << 16, bool)
-            seen[keys >> np.uint64(48)] = True
-            own.tables[size] = (keys[order], np.array(ids, np.int32)[order], seen)
+            keys = keys[order]
+            slot = np.full(1 << SEEN, -1, np.int16 if len(keys) < 1 << 15 else np.int32)
+            slot[keys[::-1] >> SEEN_SHIFT] = np.arange(len(keys))[::-1]
+            own.tables[size] = (keys, np.array(ids, np.int32)[order], slot)
         return own
 
     @staticmethod
@@ -120,31 +124,44 @@ class Vocabulary:
             power, inverse = _powers(length + 1)
             sums = np.zeros((length + 1, n), np.uint64)
             np.cumsum((points.T.astype(np.uint64) + np.uint64(1)) * power[:length, None], axis=0, out=sums[1:])
-            best = np.full((length + 1, n), -np.inf)
-            best[0] = 0
-            back = np.zeros((length + 1, n), np.int32)
-            token = np.zeros((length + 1, n), np.int64)
-            octets = 1 + (points > 0x7F) + (points > 0x7FF) + ((points > 0xFFFF) & (points != LITERAL))
-            for j in range(1, length + 1):
-                for size in range(min(j, self.longest), 0, -1):
-                    if size not in self.tables:
-                        continue
-                    keys, ids, seen = self.tables[size]
-                    h = (sums[j] - sums[j - size]) * inverse[j - size]
-                    hit = np.flatnonzero(seen[h >> np.uint64(48)])
-                    if not len(hit):
-                        continue
-                    h = h[hit]
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    same = keys[at] == h
-                    hit, found = hit[same], ids[at[same]]
-                    total = best[j - size, hit] + self.scores[found]
-                    better = total > best[j, hit]
-                    hit, found = hit[better], found[better]
-                    best[j, hit], back[j, hit], token[j, hit] = total[better], size, found
-                total = best[j - 1] + self.byte_score * octets[:, j - 1]
-                better = np.flatnonzero(total > best[j])
-                best[j, better], back[j, better], token[j, better] = total[better], 1, -1 - points[better, j - 1].astype(np.int64)
+            # all pieces of one length that stand somewhere, in order of the place where they end
+            stands = []
+            for size in range(min(length, self.longest), 0, -1):
+                if size not in self.tables:
+                    continue
+                keys, ids, slot = self.tables[size]
+                h = ((sums[size:] - sums[:-size]) * inverse[: length - size + 1, None]).ravel()
+                at = slot[h >> SEEN_SHIFT]
+                hit = np.flatnonzero(at >= 0)
+                if not len(hit):
+                    continue
+                h, at = h[hit], at[hit]
+                same = keys[at] == h
+                if not same.all():  # another key with the same first bits, if it is there
+                    other = np.flatnonzero(~same)
+                    at[other] = np.minimum(np.searchsorted(keys, h[other]), len(keys) - 1)
+                    same[other] = keys[at[other]] == h[other]
+                    hit, at = hit[same], at[same]
+                found = ids[at]
+                stands.append((size, hit % n, found, self.scores[found], np.searchsorted(hit, np.arange(length - size + 2) * n).tolist()))
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        back, token = np.zeros((length + 1, n), np.int32), np.zeros((length + 1, n), np.int64)
+        octets = 1 + (points > 0x7F) + (points > 0x7FF) + ((points > 0xFFFF) & (points != LITERAL))
+        for j in range(1, length + 1):
+            now = best[j]
+            for size, word, found, score, edge in stands:  # longer ones first
+                if size > j or edge[j - size] == edge[j - size + 1]:
+                    continue
+                own = slice(edge[j - size], edge[j - size + 1])
+                w = word[own]
+                total = best[j - size][w] + score[own]
+                better = total > now[w]
+                w = w[better]
+                now[w], back[j, w], token[j, w] = total[better], size, found[own][better]
+            total = best[j - 1] + self.byte_score * octets[:, j - 1]
+            better = np.flatnonzero(total > now)
+            now[better], back[j, better], token[j, better] = total[better], 1, -1 - points[better, j - 1].astype(np.int64)
         out, count, at, who = np.zeros((n, length), np.int64), np.zeros(n, np.int64), np.full(n, length), np.arange(n)
         while len(who):
             out[who, length - 1 - count[who]] = token[at[who], who]
@@ -207,8 +224,9 @@ class Vocabulary:
                 continue
             if not n + spaced:
                 continue
-            for a in range(0, len(rows), 20_000):
-                some = rows[a : a + 20_000]
+            step = max(1, 200_000 // (n + spaced))
+            for a in range(0, len(rows), step):
+                some = rows[a : a + step]
                 grid = points[start[some][:, None] + np.arange(n)]
                 if spaced:
                     grid = np.concatenate([np.full((len(some), 1), SPACE, np.uint32), grid], axis=1)
