@@ -132,3 +132,41 @@ def ranked_candidates(queries: DataFrame, corpus: DataFrame, limit: int = 400, p
     hits = probed.join(postings(corpus).select("token", "v_idx"), "token").groupBy("id", "v_idx").agg(F.count("*").alias("score"), F.min("rank").alias("first"))
     best = Window.partitionBy("id").orderBy(F.desc("score"), "first", "v_idx")
     return hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select("id", "v_idx", "score", "place")
+
+
+def pair_frequency(corpus: DataFrame, words: str = "skeleton_tokens") -> DataFrame:
+    """key, df: in how many verses two neighbouring words stand."""
+    return corpus.select("v_idx", F.explode(F.array_distinct(_pairs(words))).alias("key")).groupBy("key").agg(F.count("*").alias("df"))
+
+
+def _pairs(words: str) -> Column:
+    return F.expr(f"transform(slice({words}, 2, greatest(size({words}) - 1, 0)), (w, i) -> {words}[i] || ' ' || w)")
+
+
+def rare_keys(corpus: DataFrame, words: str = "skeleton_tokens") -> DataFrame:
+    """v_idx, key, offset, size: each verse with its rarest pair of neighbouring words and where that stands in it.
+
+    A verse of one word has the word. Frequent openings don't make frequent keys, so what meets on a key grows with the
+    places of rare pairs."""
+    at = corpus.select("v_idx", F.size(words).alias("size"), F.posexplode(F.when(F.size(words) > 1, _pairs(words)).otherwise(F.col(words))).alias("offset", "key"))
+    rarest = at.join(pair_frequency(corpus, words), "key", "left").groupBy("v_idx").agg(F.first("size").alias("size"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "key")).alias("x"))
+    return rarest.select("v_idx", "x.key", "x.offset", "size")
+
+
+def third_keys(corpus: DataFrame, words: str = "tokens") -> DataFrame:
+    """v_idx, key, offset: three keys of each verse, one for each third of its words: the third's rarest pair, or its one word.
+
+    Two edits leave one third as it is, so where a verse stands with two edits at most, one of its keys stands too, at
+    most two words from its place. A verse of two words has two keys (one edit); one of one word has one."""
+    third = F.expr(f"transform(sequence(0, 2), k -> struct(int(floor(k * size({words}) / 3)) as a, int(floor((k + 1) * size({words}) / 3)) as b))")
+    at = corpus.select("v_idx", F.col(words).alias("w"), F.explode(third).alias("t")).filter("t.b > t.a")
+    keys = F.expr("transform(sequence(t.a, greatest(t.b - 2, t.a)), i -> struct(i as offset, if(t.b - t.a > 1, w[i] || ' ' || w[i + 1], w[i]) as key))")
+    one = at.select("v_idx", "t.a", F.explode(keys).alias("x")).select("v_idx", "a", "x.key", "x.offset")
+    rarest = one.join(pair_frequency(corpus, words), "key", "left").groupBy("v_idx", "a").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "key")).alias("x"))
+    return rarest.select("v_idx", "x.key", "x.offset")
+
+
+def places(cands: DataFrame, words: str = "skeleton_tokens") -> DataFrame:
+    """id, pos, key: the words and the pairs of neighbouring words of texts, as keys and where they begin."""
+    both = F.concat(F.expr(f"transform({words}, (w, i) -> struct(i as pos, w as key))"), F.expr(f"transform(slice({words}, 2, greatest(size({words}) - 1, 0)), (w, i) -> struct(i as pos, {words}[i] || ' ' || w as key))"))
+    return cands.select("id", F.explode(both).alias("x")).select("id", "x.pos", "x.key")

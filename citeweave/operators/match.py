@@ -7,21 +7,16 @@ token, with the exact test as a residual, so no strategy is a nested loop.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 
-from .corpus import exact_keys, positions, postings, ranked_candidates
+from .corpus import exact_keys, places, positions, postings, ranked_candidates, rare_keys, third_keys
 
 #: Confidences and limits of the strategies.
 UNIQUE, AMBIGUOUS, SKELETON, COMPLETED, TYPO, PARTIAL, PARTIAL_TYPO = 100, 92, 97, 95, 88, 90, 85
 FUZZY, FUZZY_POOL, REPEATS, NEAR_VERSES, ALTERNATIVES, CHAPTER_BONUS = 85, 300, 60, 3, 8, 6
-#: Edits of a verse and of a whole quotation, and how they lower the confidence.
-VERSE_EDITS, RUN_EDITS, REPAIRED, PER_EDIT = 2, 3, 95, 4
 
 
 def recast(df: DataFrame, profile: T.ScriptProfile) -> DataFrame:
@@ -144,15 +139,16 @@ def verses_in(texts: DataFrame, corpus: DataFrame, ident: str, text: str, profil
 def verse_runs(cands: DataFrame, corpus: DataFrame, typos: int = 0) -> DataFrame:
     """Every whole verse that stands in a candidate: id, pos, v_idx, chapter, verse, size, errors.
 
-    Words may differ by skeleton; with typos, up to so many words may be a typing error apart. Places and verses meet as
-    slim rows on their first words' skeleton; words are fetched for those that meet.
+    Words may differ by skeleton; with typos, up to so many words (two at most) may be a typing error apart. Places and
+    verses meet as slim rows on each verse's rarest pair of words, so verses that begin alike cost nothing; words are
+    fetched for those that meet.
     """
     verses = corpus.select("v_idx", "chapter", "verse", F.col("tokens").alias("v"), F.col("skeleton_tokens").alias("s"), F.size("tokens").alias("size"))
-    at = cands.select("id", F.size("tokens").alias("n"), F.posexplode_outer(F.arrays_zip("skeleton_tokens", F.expr("slice(skeleton_tokens, 2, size(skeleton_tokens))").alias("b"))).alias("pos", "x"))
-    heads = verses.select("v_idx", "size", F.col("s")[0].alias("key"), F.get("s", F.lit(1)).alias("second"))
-    fits = F.col("pos") + F.col("size") <= F.col("n")
-    met = at.select("id", "n", "pos", F.col("x.skeleton_tokens").alias("key"), F.col("x.b").alias("b")).join(heads, "key").filter(fits if typos else fits & (F.col("second").isNull() | (F.col("b") == F.col("second"))))
-    hits = met.select("id", "pos", "v_idx").join(cands.select("id", "tokens", "skeleton_tokens"), "id").join(verses, "v_idx")
+    meet = lambda words, keys: places(cands, words).join(keys, "key").select("id", (F.col("pos") - F.col("offset")).alias("pos"), "v_idx").filter("pos >= 0")
+    met = meet("skeleton_tokens", rare_keys(corpus))
+    if typos:
+        met = met.union(meet("tokens", third_keys(corpus)))
+    hits = met.distinct().join(cands.select("id", "tokens", "skeleton_tokens"), "id").join(verses, "v_idx").filter(F.col("pos") + F.col("size") <= F.size("tokens"))
     q, qs = F.slice("tokens", F.col("pos") + 1, F.col("size")), F.slice("skeleton_tokens", F.col("pos") + 1, F.col("size"))
     same = (q == F.col("v")) | ((qs == F.col("s")) & F.forall("s", lambda t: t != ""))
     errors = F.when(same, 0)
@@ -199,151 +195,11 @@ def whole_chains(cands: DataFrame, corpus: DataFrame, correct: bool = True, typo
     return out.withColumn("confidence", T.rounded(total / (F.col("n_verses") + F.col("begun").cast("int")))).withColumn("ambiguous", F.col("tied") > 1).drop("q", "nt", "c2", "v2", "place", "tied")
 
 
-# --- chains with errors: pairs by joins, words aligned and steps chosen per candidate ---------------------
-
-
-def _near(a: str, b: str) -> bool:
-    """near_token for Python words."""
-    longer = max(len(a), len(b))
-    if longer < 4 or abs(len(a) - len(b)) > 2:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] <= (2 if longer >= 7 else 1)
-
-
-def word_edits(words: list[str], verse: list[str], most: int = VERSE_EDITS) -> tuple[int, int] | None:
-    """(edits, words used) of the best alignment of the verse with the first words, if edits are at most `most`.
-
-    A word may be missing, be too much, or be a typing error apart. Fewest edits, then most words.
-    """
-    cost = [j if j <= most else 99 for j in range(len(words) + 1)]
-    for v in verse:
-        before, cost = cost, [cost[0] + 1]
-        for j, w in enumerate(words, 1):
-            swap = before[j - 1] + (0 if w == v else 1 if _near(w, v) else 99)
-            cost.append(min(swap, before[j] + 1, cost[j - 1] + 1))
-        if min(cost) > most:
-            return None
-    best = min(cost)
-    return (best, max(j for j, c in enumerate(cost) if c == best)) if best <= most else None
-
-
-def aligned(cands: DataFrame, corpus: DataFrame, pairs: DataFrame, most: int = VERSE_EDITS) -> DataFrame:
-    """For pairs (id, pos, v_idx): the verse aligned with the words from pos on; id, pos, v_idx, chapter, verse, size (words used), errors."""
-    words = cands.select("id", "tokens")
-    verses = corpus.select("v_idx", "chapter", "verse", F.col("tokens").alias("v"))
-    rows = pairs.join(words, "id").join(verses, "v_idx").filter(F.size("v") > 1)
-    rows = rows.select("id", "pos", "v_idx", "chapter", "verse", F.slice("tokens", F.col("pos") + 1, F.size("v") + most).alias("q"), "v")
-
-    def align(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            got = [word_edits(list(q), list(v), most) or (-1, 0) for q, v in zip(pdf["q"], pdf["v"])]
-            out = pdf[["id", "pos", "v_idx", "chapter", "verse"]].assign(size=[g[1] for g in got], errors=[g[0] for g in got])
-            yield out[(out["errors"] >= 0) & (out["size"] > 0)]
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", "pos", "v_idx", "chapter", "verse"))
-    return rows.mapInPandas(align, f"{kinds}, size int, errors int")
-
-
-def begun(cands: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Where the rest of a candidate is the beginning of a longer verse: id, pos, v_idx, chapter, verse."""
-    at = cands.select("id", F.posexplode("tokens").alias("pos", "key")).filter("pos > 0")
-    met = at.join(corpus.select("v_idx", F.col("tokens")[0].alias("key")), "key").select("id", "pos", "v_idx")
-    rows = met.join(cands.select("id", "tokens"), "id").join(corpus.select("v_idx", "chapter", "verse", F.col("tokens").alias("v")), "v_idx")
-    rest = F.expr("slice(tokens, pos + 1, size(tokens))")
-    return rows.filter((F.size("v") > F.size(rest)) & (F.slice("v", F.lit(1), F.size(rest)) == rest)).select("id", "pos", "v_idx", "chapter", "verse")
-
-
-def pool(cands: DataFrame, corpus: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs (id, pos, v_idx) worth an alignment: one of the two words at a place (id, pos) is among the verse's first two."""
-    at = places.select("id", "pos").distinct().join(cands.select("id", "tokens"), "id").select("id", "pos", F.explode(F.slice("tokens", F.col("pos") + 1, 2)).alias("key"))
-    heads = corpus.select("v_idx", F.explode(F.slice("tokens", 1, 2)).alias("key"))
-    return at.join(heads, "key").select("id", "pos", "v_idx").distinct()
-
-
-def nexts(runs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Pairs (id, pos, v_idx): behind each verse found, the verse that comes next in its chapter."""
-    nxt = corpus.select("chapter", (F.col("verse") - 1).alias("verse"), F.col("v_idx").alias("next"))
-    return runs.select("id", (F.col("pos") + F.col("size")).alias("pos"), "chapter", "verse").join(nxt, ["chapter", "verse"]).select("id", "pos", F.col("next").alias("v_idx"))
-
-
-def repairs(cands: DataFrame, corpus: DataFrame, runs: DataFrame, keep=lambda df, name: df) -> DataFrame:
-    """Verses with edits at a candidate's start, behind every verse that stands in it, and behind those repaired there.
-
-    keep: stores the first round, from which the second starts."""
-    mine = runs.join(cands.select("id"), "id", "left_semi")
-    first = cands.select("id", F.lit(0).alias("pos")).union(mine.select("id", (F.col("pos") + F.col("size")).alias("pos")))
-    once = keep(aligned(cands, corpus, pool(cands, corpus, first).union(nexts(mine, corpus)).distinct()), "repairs")
-    again = once.filter("errors > 0").select("id", (F.col("pos") + F.col("size")).alias("pos")).join(first, ["id", "pos"], "left_anti")
-    return once.union(aligned(cands, corpus, pool(cands, corpus, again).union(nexts(once.filter("errors > 0"), corpus)).distinct())).distinct()
-
-
-_STEPS = "array<struct<chapter:int,verse:int,v_idx:long,confidence:int,begun:boolean>>"
-
-
-def walk(n: int, edges: list, hint: int | None) -> list[tuple] | None:
-    """Steps (chapter, verse, v_idx, confidence, begun) that take up all n words, or None. edges: (pos, size, chapter, verse, v_idx, errors, begun).
-
-    At each place, the first of: the next verse as it stands; the beginning of the next verse; the next verse with
-    edits; the longest verse as it stands, one that goes on before one that doesn't; the best verse with edits.
-    """
-    at: dict[int, list] = {}
-    for e in edges:
-        at.setdefault(e["pos"], []).append(e)
-    out, pos, left, last = [], 0, RUN_EDITS, None
-    follows = lambda e, p: p is not None and e["chapter"] == p[0] and e["verse"] == p[1] + 1
-    while pos < n:
-        here = at.get(pos, [])
-        nxt = [e for e in here if follows(e, last)]
-        exact = next((e for e in nxt if not e["begun"] and not e["errors"]), None)
-        if exact is None and (cut := next((e for e in nxt if e["begun"]), None)):
-            out.append((cut["chapter"], cut["verse"], cut["v_idx"], 0, True))
-            return out
-        rank = lambda e: (-10 * e["errors"] + e["size"] + (5 if e["chapter"] == hint else 0), -e["v_idx"])
-        repairs = [e for e in here if not e["begun"] and 0 < e["errors"] <= left]
-        step = exact or max((e for e in repairs if follows(e, last)), key=rank, default=None)
-        if step is None:
-            whole = [e for e in here if not e["begun"] and not e["errors"]]
-            goes_on = lambda e: e["pos"] + e["size"] == n or any(follows(x, (e["chapter"], e["verse"])) for x in at.get(e["pos"] + e["size"], []))
-            step = max(whole, key=lambda e: (e["size"], goes_on(e), e["chapter"] == hint, -e["v_idx"]), default=None) or max(repairs, key=rank, default=None)
-        if step is None:
-            return None
-        left -= step["errors"]
-        out.append((step["chapter"], step["verse"], step["v_idx"], 100 if not step["errors"] else max(85, REPAIRED - PER_EDIT * step["errors"]), False))
-        last, pos = (step["chapter"], step["verse"]), pos + step["size"]
-    return out
-
-
-def walked(cands: DataFrame, runs: DataFrame, repairs: DataFrame | None, ends: DataFrame, correct: bool = True) -> DataFrame:
-    """Candidates read as verses from end to end, of one chapter or several: id, steps, n_groups, confidence, completed.
-
-    runs: verses as they stand (`verse_runs`); repairs: with edits (`aligned`); ends: `begun`. A verse that is only begun
-    is completed (confidence 95), or given as far as it goes where the candidate ends in dots.
-    """
-    edge = lambda df, size, errors, cut: df.select("id", F.struct(F.col("pos").cast("int").alias("pos"), size.cast("int").alias("size"), F.col("chapter").cast("int").alias("chapter"), F.col("verse").cast("int").alias("verse"), F.col("v_idx").cast("long").alias("v_idx"), errors.cast("int").alias("errors"), F.lit(cut).alias("begun")).alias("e"))
-    edges = edge(runs, F.col("size"), F.lit(0), False).union(edge(ends, F.lit(0), F.lit(0), True))
-    if repairs is not None:
-        edges = edges.union(edge(repairs.filter("errors > 0"), F.col("size"), F.col("errors"), False))
-    listed = edges.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("edges"))  # bounded by the candidate's words
-    rows = listed.join(cands.select("id", F.size("tokens").alias("n"), "hint_chapter", F.col("raw").rlike(r"\.{2,}|…").alias("dots")), "id")
-
-    @F.pandas_udf(_STEPS)
-    def steps(n: pd.Series, edges: pd.Series, hint: pd.Series) -> pd.Series:
-        return pd.Series([walk(int(k), list(e), None if h is None or h != h else int(h)) for k, e, h in zip(n, edges, hint)], dtype=object)
-
-    out = rows.select("id", "dots", steps("n", "edges", "hint_chapter").alias("steps")).filter("steps is not null")
-    out = out.withColumn("completed", F.exists("steps", lambda s: s["begun"]) & ~F.col("dots"))
-    value = lambda s: F.when(s["begun"], F.when(F.col("completed"), COMPLETED).otherwise(UNIQUE)).otherwise(s["confidence"])
-    out = out.withColumn("confidence", T.rounded(F.aggregate("steps", F.lit(0), lambda x, s: x + value(s)) / F.size("steps")))
-    return out if correct else out.filter("not completed")
+# --- readings of several verses ---------------------------------------------------------------
 
 
 def groups(steps: DataFrame) -> DataFrame:
-    """Steps of `walked` as runs of neighbouring verses: id, g (from 0), chapter, verse, end_verse, cut (the last is only begun), and the steps' other columns."""
+    """Steps of `chain.linked` as runs of neighbouring verses: id, g (from 0), chapter, verse, end_verse, cut (the last is only begun), and the steps' other columns."""
     s = steps.select(*[c for c in steps.columns if c != "steps"], F.posexplode("steps").alias("p", "s"))
     by = Window.partitionBy("id").orderBy("p")
     same = (F.col("s.chapter") == F.lag("s.chapter").over(by)) & (F.col("s.verse") == F.lag("s.verse").over(by) + 1)

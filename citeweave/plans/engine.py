@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
-from citeweave.operators import extract, match, render, review
+from citeweave.operators import chain, extract, match, render, review
 from citeweave.plans.store import kept
 
 
@@ -55,7 +55,7 @@ def _hits(df: DataFrame, order: int, kind: str) -> DataFrame:
         "id", F.lit(order).alias("ord"), F.lit(kind).alias("kind"), col("chapter", none).cast("int").alias("chapter"), col("verse", none).cast("int").alias("verse"),
         col("end_verse", col("verse", none)).cast("int").alias("end_verse"), col("start", none).cast("int").alias("w_start"), col("size", none).cast("int").alias("w_size"),
         F.col("confidence").cast("int").alias("confidence"), col("ambiguous", F.lit(False)).alias("ambiguous"), col("occurrences", F.lit(1)).cast("int").alias("occurrences"),
-        col("alternatives", F.array().cast("array<string>")).alias("alternatives"), col("partial", F.lit(False)).alias("partial"), col("steps", none.cast(match._STEPS)).alias("steps"),
+        col("alternatives", F.array().cast("array<string>")).alias("alternatives"), col("partial", F.lit(False)).alias("partial"), col("steps", none.cast(chain.STEPS)).alias("steps"),
     )
 
 
@@ -83,17 +83,18 @@ def resolved(cands: DataFrame, corpus: DataFrame, cfg: Config) -> DataFrame:
     The first to reach confidence 100 wins; of the others the surest, then the earlier.
     """
     some = kept(cands.filter(F.size("tokens") >= 2), "candidates")
-    runs, ends = kept(match.verse_runs(some, corpus), "runs"), kept(match.begun(some, corpus), "begun")
+    runs = kept(match.verse_runs(some, corpus), "runs")
     tied = match.chains(some, corpus, runs=runs).join(some.select("id", F.size("tokens").alias("n")), "id").filter("pos = 0 and end = n").groupBy("id").agg((F.count("*") > 1).alias("ambiguous"))
-    walks = match.walked(some, runs, None, ends, cfg.correct).filter(F.size("steps") > 1).join(tied, "id", "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
+    walks = chain.linked(some, corpus, runs, kept, correct=cfg.correct).filter(F.size("steps") > 1).join(tied, "id", "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
     parts = [(walks, "chain"), (match.exact(some, corpus), "exact"), (match.by_skeleton(some, corpus), "skeleton"), (match.contiguous(some, corpus), "run"), (match.prefix(some, corpus), "prefix")]
     sure = kept(_union([_hits(df, i, kind) for i, (df, kind) in enumerate(parts)]), "sure")
     if cfg.correct:
-        rest = kept(some.filter(F.size("tokens") <= cfg.longest_fuzzy).join(sure.select("id").distinct(), "id", "left_anti"), "rest")
-        if not rest.isEmpty():
+        left = kept(some.join(sure.select("id").distinct(), "id", "left_anti"), "left")
+        if not left.isEmpty():
+            fixed = chain.linked(left, corpus, runs.join(left.select("id"), "id", "left_semi"), kept, repair=True)
+            # the other corrections are for short quotations
+            rest = left.filter(F.size("tokens") <= cfg.longest_fuzzy)
             n = rest.select("id", F.size("tokens").alias("n"), "hint_chapter", "hint_verse")
-            only = lambda df: df.join(rest.select("id"), "id", "left_semi")
-            fixed = match.walked(rest, only(runs), kept(match.repairs(rest, corpus, runs, kept), "repairs"), only(ends))
             forms = kept(variants(rest, corpus, cfg.profile), "variants")
             back = lambda df: match.picked(df.drop("occurrences", "alternatives", "ambiguous", "resolved").join(forms.select("id", "of", "hint_chapter", "hint_verse"), "id").withColumn("id", F.col("of")).drop("of"), (F.desc("score"),))
             form = match.exact(forms, corpus).select("id", "v_idx", "chapter", "verse", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), "partial", F.least("confidence", F.lit(match.COMPLETED)).alias("score"))

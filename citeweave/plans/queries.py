@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 from citeweave.operators import corpus as C
-from citeweave.operators import extract, match, render, review
+from citeweave.operators import chain, extract, match, render, review
 from citeweave.plans import engine
 from citeweave.plans.store import kept
 from citeweave.sources import documents as docs_io
@@ -339,17 +339,37 @@ def substituted_word(spark, sf):
     return hits.select("id", "chapter", F.col("verse").cast("long").alias("verse"), F.col("start").cast("long").alias("start"), F.col("at").cast("long").alias("place"), "word")
 
 
-@query(f"""WITH {VERSES} SELECT a.v_idx AS id, a.chapter, a.verse AS first_verse, b.verse AS last_verse, 96::BIGINT AS confidence FROM corpus a JOIN corpus b ON a.chapter = b.chapter AND b.verse = a.verse + 1 WHERE len(a.tokens) >= 5""")
-def repaired_pairs(spark, sf):
-    """Two neighbouring verses as one quotation, the third word lost: read as both, with one edit."""
+NEAR_SQL = "(greatest(length({0}), length({1})) >= 4 AND abs(length({0}) - length({1})) <= 2 AND levenshtein({0}, {1}) <= CASE WHEN greatest(length({0}), length({1})) >= 7 THEN 2 ELSE 1 END)"
+
+
+@query(f"""WITH RECURSIVE {VERSES},
+l AS (SELECT chapter, verse, list_concat(list_slice(tokens, 1, 2), CASE WHEN len(tokens) >= 5 THEN list_slice(tokens, 4, len(tokens)) ELSE list_slice(tokens, 3, len(tokens)) END) AS lost,
+  CASE WHEN len(tokens) >= 5 AND regexp_matches(tokens[2], '^...+[a-z]$') THEN list_concat(list_concat([tokens[1]], [left(tokens[2], length(tokens[2]) - 1) || 'q']), list_slice(tokens, 3, len(tokens))) ELSE tokens END AS typed FROM corpus),
+q AS (SELECT a.chapter * 1000000 + a.verse AS id, list_concat(list_concat(a.lost, b.typed), c.lost) AS q FROM l a JOIN l b ON b.chapter = a.chapter AND b.verse = a.verse + 1 JOIN l c ON c.chapter = a.chapter AND c.verse = a.verse + 2),
+forms AS (SELECT chapter, verse, tokens AS w, 0 AS e FROM corpus UNION ALL
+  SELECT chapter, verse, list_concat(list_slice(tokens, 1, k - 1), list_slice(tokens, k + 1, len(tokens))), 1 FROM (SELECT chapter, verse, tokens, unnest(range(1, len(tokens) + 1)) AS k FROM corpus WHERE len(tokens) > 1)),
+state AS (
+  SELECT id, 0 AS pos, 0 AS chapter, 0::BIGINT AS verse, 0 AS edits, 0 AS breaks, 0 AS verses, 0 AS first_chapter, 0::BIGINT AS first_verse FROM q
+  UNION
+  SELECT id, pos + len(w), chapter, verse, edits + t, breaks + CASE WHEN verses = 0 OR follows THEN 0 ELSE 1 END, verses + 1, CASE WHEN verses = 0 THEN chapter ELSE first_chapter END, CASE WHEN verses = 0 THEN verse ELSE first_verse END
+  FROM (SELECT s.id, s.pos, f.w, f.chapter, f.verse, s.edits, s.breaks, s.verses, s.first_chapter, s.first_verse, f.chapter = s.chapter AND f.verse = s.verse + 1 AS follows,
+      f.e + list_sum(list_transform(range(1, len(f.w) + 1), lambda i: CASE WHEN f.w[i] = q.q[s.pos + i] THEN 0 WHEN {NEAR_SQL.format('f.w[i]', 'q.q[s.pos + i]')} THEN 1 ELSE 99 END)) AS t
+    FROM state s JOIN q ON q.id = s.id JOIN forms f ON f.w[1] = q.q[s.pos + 1] AND len(f.w) <= len(q.q) - s.pos) x
+  WHERE t <= 2 AND edits + t <= 3),
+ends AS (SELECT s.* FROM state s JOIN q ON q.id = s.id WHERE s.pos = len(q.q))
+SELECT id, edits, breaks, verses, first_chapter AS chapter, first_verse FROM ends QUALIFY row_number() OVER (PARTITION BY id ORDER BY edits, breaks, verses, first_chapter, first_verse) = 1""")
+def repaired_chains(spark, sf):
+    """Three neighbouring verses as one quotation, the third word of the first and last lost and a typing error in the second one's second word."""
     v = kept(corpus(spark, sf), "corpus")
-    two = C.following(v, "chapter", "verse", ["text"]).filter("next_text is not null and size(tokens) >= 5")
-    made = two.select(F.col("v_idx").alias("id"), F.concat_ws(" ", F.array_join(F.filter("tokens", lambda t, i: i != 2), " "), "next_text").alias("text"))
-    cands = kept(match.candidates(made, T.LATIN), "candidates")
-    runs = kept(match.verse_runs(cands, v), "runs")
-    steps = match.walked(cands, runs, match.repairs(cands, v, runs, kept), match.begun(cands, v))
-    out = match.groups(steps.select("id", "steps", "confidence"))
-    return out.select("id", "chapter", F.col("verse").cast("long").alias("first_verse"), F.col("end_verse").cast("long").alias("last_verse"), F.col("confidence").cast("long").alias("confidence"))
+    lost = F.when(F.size("tokens") >= 5, F.filter("tokens", lambda t, i: i != 2)).otherwise(F.col("tokens"))
+    typed = F.when((F.size("tokens") >= 5) & F.col("tokens")[1].rlike("^...+[a-z]$"), F.transform("tokens", lambda t, i: F.when(i == 1, F.concat(F.expr("substring(tokens[1], 1, length(tokens[1]) - 1)"), F.lit("q"))).otherwise(t))).otherwise(F.col("tokens"))
+    made = v.withColumn("lost", F.array_join(lost, " ")).withColumn("typed", F.array_join(typed, " "))
+    three = C.following(C.following(made, "chapter", "verse", ["lost", "typed"]), "chapter", "verse", ["next_lost"]).filter("next_typed is not null and next_next_lost is not null")
+    quotes = three.select(F.col("v_idx").alias("id"), F.concat_ws(" ", "lost", "next_typed", "next_next_lost").alias("text"))
+    cands = kept(match.candidates(quotes, T.LATIN), "candidates")
+    out = chain.linked(cands, v, kept(match.verse_runs(cands, v), "runs"), kept, repair=True)
+    first = F.col("steps")[0]
+    return out.select("id", "edits", "breaks", F.size("steps").alias("verses"), first["chapter"].alias("chapter"), first["verse"].cast("long").alias("first_verse"))
 
 
 def _swapped(text, toks):
