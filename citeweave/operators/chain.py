@@ -25,7 +25,8 @@ RUN_EDITS, REPAIRED, PER_EDIT, LEAST_REPAIRED, UNIQUE, COMPLETED, BEGUN_TYPO = 3
 
 STEPS = "array<struct<chapter:int,verse:int,confidence:int,begun:boolean>>"
 _PATH = "array<struct<chapter:int,verse:int,end_verse:int,errors:int,begun:boolean>>"
-_STATE = ["id", "pos", "chapter", "verse", "cost"]
+_KEY = ["id", "pos", "chapter", "verse"]
+_TEXT = ["n", "hint_chapter"]
 
 
 def stretches(runs: DataFrame, corpus: DataFrame, cands: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,9 +62,8 @@ def _step(chapter, verse, end_verse, errors, begun) -> F.Column:
 
 
 def _extended(front: DataFrame, cands: DataFrame, corpus: DataFrame, entered: DataFrame, left: DataFrame, met: DataFrame | None) -> DataFrame:
-    """All states that follow from those of the frontier by one step."""
-    sized = cands.select("id", F.size("tokens").alias("n"), "hint_chapter")
-    front = front.join(sized, "id").filter("pos < n")
+    """All states that follow from those of the frontier by one step; n and hint_chapter of the text go along."""
+    front = front.filter("pos < n")
     away = lambda c, k: F.when(c == F.col("hint_chapter"), 0).otherwise(F.when(F.col("hint_chapter").isNull(), 0).otherwise(k))
     next_verses = corpus.select("v_idx", F.col("chapter").alias("chapter"), (F.col("verse") - 1).alias("verse"), F.col("tokens").alias("next"))
     # a step to a verse elsewhere doesn't ask what came before, so the best state of a place speaks for all
@@ -71,14 +71,14 @@ def _extended(front: DataFrame, cands: DataFrame, corpus: DataFrame, entered: Da
     e = entered.withColumnsRenamed({"chapter": "to_chapter", "verse": "from"})
     follows = F.coalesce((F.col("to_chapter") == F.col("chapter")) & (F.col("from") == F.col("verse") + 1), F.lit(False))
     elsewhere = F.when(F.col("chapter").isNull(), 0).otherwise(1)
-    slim = ["id", "cost", "hint_chapter", "to_chapter", "from", "origin", "island"]
+    slim = ["id", *_TEXT, "cost", "to_chapter", "from", "origin", "island"]
     anywhere = best.join(e, ["id", "pos"]).filter(~follows).select(*slim, elsewhere.alias("breaks"))
     # behind a verse with edits, the next one as it stands is no break
     mended = F.element_at("cost.path", -1)["errors"] > 0
     behind = front.filter((F.size("cost.path") > 0) & mended).join(e, ["id", "pos"]).filter(follows).select(*slim, F.lit(0).alias("breaks"))
     runs = anywhere.union(behind).withColumnRenamed("to_chapter", "chapter").join(left, ["id", "chapter", "origin", "island"]).filter(F.col("end_verse") >= F.col("from"))
     many = F.col("end_verse") - F.col("from") + 1
-    out = [runs.select("id", F.col("end").alias("pos"), "chapter", F.col("end_verse").alias("verse"), _cost(F.lit(0), F.col("breaks"), many, away(F.col("chapter"), many), _step(F.col("chapter"), F.col("from"), F.col("end_verse"), F.lit(0), False)).alias("cost"))]
+    out = [runs.select("id", *_TEXT, F.col("end").alias("pos"), "chapter", F.col("end_verse").alias("verse"), _cost(F.lit(0), F.col("breaks"), many, away(F.col("chapter"), many), _step(F.col("chapter"), F.col("from"), F.col("end_verse"), F.lit(0), False)).alias("cost"))]
     # the next verse, of which the text has only the beginning
     words = cands.select("id", "tokens")
     rest = F.expr("slice(tokens, pos + 1, n)")
@@ -88,7 +88,7 @@ def _extended(front: DataFrame, cands: DataFrame, corpus: DataFrame, entered: Da
         near = F.aggregate(F.zip_with(rest, F.expr("slice(next, 1, n - pos)"), lambda a, b: F.when(a == b, 0).when(T.near_token(a, b), 1).otherwise(99)), F.lit(0), lambda s, k: s + k)
         wrong = wrong.when((F.col("n") - F.col("pos") >= 2), near)
     ends = ends.withColumn("errors", wrong).filter((F.col("errors") <= VERSE_EDITS) & (F.col("errors") + F.col("cost.edits") <= RUN_EDITS))
-    out.append(ends.select("id", F.col("n").alias("pos"), "chapter", (F.col("verse") + 1).alias("verse"), _cost(F.col("errors"), F.lit(0), F.lit(1), away(F.col("chapter"), 1), _step(F.col("chapter"), F.col("verse") + 1, F.col("verse") + 1, F.col("errors"), True)).alias("cost")))
+    out.append(ends.select("id", *_TEXT, F.col("n").alias("pos"), "chapter", (F.col("verse") + 1).alias("verse"), _cost(F.col("errors"), F.lit(0), F.lit(1), away(F.col("chapter"), 1), _step(F.col("chapter"), F.col("verse") + 1, F.col("verse") + 1, F.col("errors"), True)).alias("cost")))
     if met is not None:
         # verses with edits: the next one, and those that have a key near by
         open_ = front.filter(F.col("cost.edits") < RUN_EDITS)
@@ -99,8 +99,8 @@ def _extended(front: DataFrame, cands: DataFrame, corpus: DataFrame, entered: Da
         first = F.row_number().over(Window.partitionBy("id", "pos", "v_idx", "follows").orderBy("cost"))
         both = both.withColumn("first", first).filter("follows or first = 1")
         cost = _cost(F.col("errors"), F.when(F.col("follows"), 0).otherwise(elsewhere), F.lit(1), away(F.col("to_chapter"), 1), _step(F.col("to_chapter"), F.col("from"), F.col("from"), F.col("errors"), False))
-        out.append(both.select("id", (F.col("pos") + F.col("size")).alias("pos"), F.col("to_chapter").alias("chapter"), F.col("from").alias("verse"), cost.alias("cost")))
-    kinds = lambda df: df.select("id", F.col("pos").cast("int").alias("pos"), F.col("chapter").cast("int").alias("chapter"), F.col("verse").cast("int").alias("verse"), "cost")
+        out.append(both.select("id", *_TEXT, (F.col("pos") + F.col("size")).alias("pos"), F.col("to_chapter").alias("chapter"), F.col("from").alias("verse"), cost.alias("cost")))
+    kinds = lambda df: df.select("id", *_TEXT, F.col("pos").cast("int").alias("pos"), F.col("chapter").cast("int").alias("chapter"), F.col("verse").cast("int").alias("verse"), "cost")
     return reduce(DataFrame.union, [kinds(df) for df in out])
 
 
@@ -115,23 +115,24 @@ def linked(cands: DataFrame, corpus: DataFrame, runs: DataFrame, keep: Callable[
     met = keep(meetings(cands, corpus), "meetings") if repair else None
     entered, left = (keep(df, "stretches") for df in stretches(runs, corpus, cands))
     nothing = F.struct(*(F.lit(0).alias(c) for c in ("edits", "breaks", "verses", "away")), F.array().cast(_PATH).alias("path"))
-    front = cands.select("id", F.lit(0).alias("pos"), F.lit(None).cast("int").alias("chapter"), F.lit(None).cast("int").alias("verse"), nothing.alias("cost"))
-    sizes = cands.select("id", F.size("tokens").alias("n"))
+    front = cands.select("id", F.size("tokens").alias("n"), "hint_chapter", F.lit(0).alias("pos"), F.lit(None).cast("int").alias("chapter"), F.lit(None).cast("int").alias("verse"), nothing.alias("cost"))
     found: list[DataFrame] = []
-    while True:
-        new = _extended(front, cands, corpus, entered, left, met).groupBy("id", "pos", "chapter", "verse").agg(F.min("cost").alias("cost"))
+    ended = F.when(F.col("pos") == F.col("n"), F.struct("cost.edits", "cost.breaks"))
+    open_ = True
+    while open_:
+        new = _extended(front, cands, corpus, entered, left, met).groupBy(*_KEY).agg(*(F.first(c).alias(c) for c in _TEXT), F.min("cost").alias("cost"))
+        new = new.withColumn("done", F.min(ended).over(Window.partitionBy("id")))
         if found:
             old = reduce(DataFrame.union, found)
-            known = old.groupBy("id", "pos", "chapter", "verse").agg(F.min("cost").alias("known"))
-            done = old.join(sizes, "id").filter("pos = n").groupBy("id").agg(F.min(F.struct("cost.edits", "cost.breaks")).alias("done"))
-            new = new.join(known, ["id", "pos", "chapter", "verse"], "left").filter("known is null or cost < known").join(done, "id", "left").filter(F.col("done").isNull() | (F.struct("cost.edits", "cost.breaks") <= F.col("done"))).select(*_STATE)
-        front = keep(new, "frontier")
-        if front.isEmpty():
-            break
+            known = old.groupBy(*_KEY).agg(F.min("cost").alias("known"))
+            done = old.groupBy("id").agg(F.min(ended).alias("done_before"))
+            new = new.join(known, _KEY, "left").filter("known is null or cost < known").join(done, "id", "left").withColumn("done", F.least("done", "done_before"))
+        # what is dearer than a reading of the whole text can't become a better one
+        new = new.filter(F.col("done").isNull() | (F.struct("cost.edits", "cost.breaks") <= F.col("done")))
+        front = keep(new.select("id", *_TEXT, "pos", "chapter", "verse", "cost"), "frontier")
         found.append(front)
-    if not found:
-        return _readings(front.join(sizes, "id"), cands, correct)
-    return _readings(reduce(DataFrame.union, found).join(sizes, "id").filter("pos = n"), cands, correct)
+        open_ = not front.filter("pos < n").isEmpty()
+    return _readings(reduce(DataFrame.union, found).filter("pos = n"), cands, correct)
 
 
 def _readings(ends: DataFrame, cands: DataFrame, correct: bool) -> DataFrame:
