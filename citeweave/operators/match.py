@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 
-from .corpus import exact_keys, places, positions, postings, ranked_candidates, rare_keys, third_keys
+from .corpus import exact_keys, places, postings, rare_keys, third_keys
 
 #: Confidences and limits of the strategies.
 UNIQUE, AMBIGUOUS, SKELETON, COMPLETED, TYPO, PARTIAL, PARTIAL_TYPO = 100, 92, 97, 95, 88, 90, 85
-FUZZY, FUZZY_POOL, REPEATS, NEAR_VERSES, ALTERNATIVES, CHAPTER_BONUS = 85, 300, 60, 3, 8, 6
+REPEATS, NEAR_VERSES, ALTERNATIVES, CHAPTER_BONUS = 60, 3, 8, 6
 
 
 def recast(df: DataFrame, profile: T.ScriptProfile) -> DataFrame:
@@ -208,23 +208,6 @@ def groups(steps: DataFrame) -> DataFrame:
     return s.groupBy("id", "g").agg(F.first("s.chapter").alias("chapter"), F.min("s.verse").alias("verse"), F.max("s.verse").alias("end_verse"), F.max("s.begun").alias("begun"), *(F.first(c).alias(c) for c in keep))
 
 
-def fuzzy(cands: DataFrame, corpus: DataFrame, least: float = FUZZY, pool: int = FUZZY_POOL) -> DataFrame:
-    """The most alike window of as many words in a verse, from `least` on: id, v_idx, chapter, verse, start, score.
-
-    The pool is the hinted chapter, or else the verses that share the rarest words.
-    """
-    some = cands.filter(F.size("tokens") >= 2)
-    free = ranked_candidates(some.filter("hint_chapter is null").select("id", "tokens"), corpus, pool).select("id", "v_idx")
-    bound = some.filter("hint_chapter is not null").join(corpus.select("v_idx", F.col("chapter").alias("hint_chapter")), "hint_chapter").select("id", "v_idx")
-    pairs = free.union(bound).join(some.select("id", F.col("norm").alias("q"), F.size("tokens").alias("n")), "id").join(corpus.select("v_idx", "chapter", "verse", "tokens"), "v_idx").filter(F.size("tokens") >= F.col("n"))
-    spot = pairs.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("n")))).withColumn("w", F.array_join(F.expr("slice(tokens, start + 1, n)"), " "))
-    spot = spot.filter(F.abs(F.length("w") - F.length("q")) <= 0.4 * F.greatest(F.length("w"), F.length("q")))
-    score = 100 * T.similarity(F.col("q"), F.col("w")) + F.when(T.edit_distance(F.col("q"), F.col("w"), 2) <= 2, 10).otherwise(0)
-    scored = spot.withColumn("score", T.clamp(score, 0, 100)).filter(F.col("score") >= least)
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "v_idx", "start")
-    return scored.withColumn("place", F.row_number().over(best)).filter("place = 1").select("id", "v_idx", "chapter", "verse", "start", F.col("n").alias("size"), "score", T.rounded(F.col("score")).alias("confidence"))
-
-
 def one_missing(cands: DataFrame, corpus: DataFrame) -> DataFrame:
     """A word left out: the words before and behind a gap stand in one verse with exactly one word between.
 
@@ -264,12 +247,3 @@ def unglued(cands: DataFrame, corpus: DataFrame, least: int = 5) -> DataFrame:
     cut = cands.select("id", "tokens", F.posexplode("tokens").alias("at", "word")).filter(F.length("word") >= least).withColumn("cut", F.explode(F.sequence(F.lit(1), F.length("word") - 1)))
     halves = cut.withColumn("token", F.expr("substring(word, 1, cut)")).join(known, "token").withColumnRenamed("token", "left").withColumn("token", F.expr("substring(word, cut + 1)")).join(known, "token")
     return halves.select("id", "at", "cut", F.concat(F.expr("slice(tokens, 1, at)"), F.array("left", "token"), F.expr("slice(tokens, at + 2, size(tokens))")).alias("tokens"))
-
-
-def subsequence_hits(cands: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Verses that hold the candidate's words in order, gaps allowed, from its first word's first place: id, v_idx, first, last, coverage."""
-    first = cands.filter(F.size("tokens") >= 1).select("id", F.col("tokens").alias("q"), *_HINTS, F.col("tokens")[0].alias("token"))
-    hits = first.join(positions(corpus).groupBy("token", "v_idx", "chapter", "verse").agg(F.min("pos").alias("first")), "token").join(corpus.select("v_idx", "tokens"), "v_idx")
-    hits = hits.filter(F.col("hint_chapter").isNull() | (F.col("chapter") == F.col("hint_chapter")))
-    step = F.aggregate(F.expr("slice(tokens, first + 1, size(tokens))"), F.struct(F.lit(0).alias("got"), F.lit(0).alias("i"), F.lit(0).alias("last")), lambda a, t: F.when((a["got"] < F.size("q")) & (t == F.get(F.col("q"), a["got"])), F.struct((a["got"] + 1).alias("got"), (a["i"] + 1).alias("i"), a["i"].alias("last"))).otherwise(F.struct(a["got"].alias("got"), (a["i"] + 1).alias("i"), a["last"].alias("last"))))
-    return hits.withColumn("x", step).filter(F.col("x.got") == F.size("q")).select("id", "v_idx", "chapter", "verse", "first", (F.col("first") + F.col("x.last")).alias("last"), (F.size("q") / (F.col("x.last") + 1)).alias("coverage"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
-from citeweave.operators import chain, extract, match, render, review
+from citeweave.operators import alike, chain, extract, gapped, match, render, review
 from citeweave.plans.store import kept
 
 
@@ -98,10 +98,12 @@ def resolved(cands: DataFrame, corpus: DataFrame, cfg: Config) -> DataFrame:
             forms = kept(variants(rest, corpus, cfg.profile), "variants")
             back = lambda df: match.picked(df.drop("occurrences", "alternatives", "ambiguous", "resolved").join(forms.select("id", "of", "hint_chapter", "hint_verse"), "id").withColumn("id", F.col("of")).drop("of"), (F.desc("score"),))
             form = match.exact(forms, corpus).select("id", "v_idx", "chapter", "verse", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), "partial", F.least("confidence", F.lit(match.COMPLETED)).alias("score"))
-            form = back(form.union(match.contiguous(forms, corpus).select("id", "v_idx", "chapter", "verse", "start", "size", "partial", F.least("confidence", F.lit(match.COMPLETED)).alias("score")))).withColumn("confidence", F.col("score"))
-            gap = match.picked(match.one_missing(rest, corpus).join(n, "id")).withColumn("size", F.col("n") + 1).withColumn("confidence", T.rounded(100 * F.col("n") / (F.col("n") + 1))).withColumn("partial", F.lit(True))
-            other = match.picked(match.one_substituted(rest, corpus).join(n, "id")).withColumn("size", F.col("n")).withColumn("confidence", T.rounded(100 * (F.col("n") - 1) / F.col("n"))).withColumn("partial", F.lit(True))
-            fuzzy = match.fuzzy(rest, corpus).withColumn("partial", F.lit(True))
+            lost = gapped.one_word_between(forms, corpus).select("id", "v_idx", "chapter", "verse", "start", "size", F.lit(True).alias("partial"), T.rounded(match.COMPLETED * F.col("score")).alias("score"))
+            form = back(form.union(lost).union(match.contiguous(forms, corpus).select("id", "v_idx", "chapter", "verse", "start", "size", "partial", F.least("confidence", F.lit(match.COMPLETED)).alias("score")))).withColumn("confidence", F.col("score"))
+            between = lambda df, words: df.join(n, "id").withColumn("confidence", T.rounded(100 * words * F.col("score"))).withColumn("partial", F.lit(True))
+            gap = between(gapped.one_word_between(rest, corpus), F.col("n") / (F.col("n") + 1))
+            other = between(gapped.one_word_between(rest, corpus, mistaken=True), (F.col("n") - 1) / F.col("n"))
+            fuzzy = alike.fuzzy(rest, corpus).withColumn("partial", F.lit(True))
             late = [(fixed, "repaired"), (form, "form"), (gap, "missing"), (other, "substituted"), (fuzzy, "fuzzy")]
             late = kept(_union([_hits(df, 5 + i, kind) for i, (df, kind) in enumerate(late)]), "late")
             sure = sure.unionByName(late.filter("confidence >= 85 or kind = 'missing'"))

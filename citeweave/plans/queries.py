@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 from citeweave.operators import corpus as C
-from citeweave.operators import chain, extract, match, render, review
+from citeweave.operators import alike, chain, extract, gapped, match, render, review
 from citeweave.plans import engine
 from citeweave.plans.store import kept
 from citeweave.sources import documents as docs_io
@@ -37,6 +37,9 @@ SENTENCES = rf"""sentences AS (
   WHERE length(text) > 12)"""
 
 
+NEAR_SQL = "(greatest(length({0}), length({1})) >= 4 AND abs(length({0}) - length({1})) <= 2 AND levenshtein({0}, {1}) <= CASE WHEN greatest(length({0}), length({1})) >= 7 THEN 2 ELSE 1 END)"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -339,7 +342,6 @@ def substituted_word(spark, sf):
     return hits.select("id", "chapter", F.col("verse").cast("long").alias("verse"), F.col("start").cast("long").alias("start"), F.col("at").cast("long").alias("place"), "word")
 
 
-NEAR_SQL = "(greatest(length({0}), length({1})) >= 4 AND abs(length({0}) - length({1})) <= 2 AND levenshtein({0}, {1}) <= CASE WHEN greatest(length({0}), length({1})) >= 7 THEN 2 ELSE 1 END)"
 
 
 @query(f"""WITH RECURSIVE {VERSES},
@@ -377,10 +379,33 @@ def _swapped(text, toks):
     return F.when(F.size(toks) >= 4, F.array_join(F.transform(toks, lambda t, i: F.when(i == 1, F.reverse(t)).otherwise(t)), " ")).otherwise("")
 
 
-@query()
+#: Letters of one byte each, as DuckDB's distance counts bytes.
+ONE_BYTE = "translate({}, 'ßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()')"
+
+
+@query(f"""WITH {VERSES}, q AS (SELECT v_idx AS id, list_concat(list_concat([tokens[1]], [reverse(tokens[2])]), list_slice(tokens, 3, len(tokens))) AS q FROM corpus WHERE len(tokens) >= 4),
+p AS (SELECT DISTINCT v_idx, unnest(tokens) AS token FROM corpus), d AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+k AS (SELECT id, token, df, row_number() OVER (PARTITION BY id ORDER BY df, token) AS rank, min(df) OVER (PARTITION BY id) AS least FROM (SELECT DISTINCT id, unnest(q) AS token FROM q) JOIN d USING (token)),
+h AS (SELECT id, p.v_idx, count(*) AS score, min(rank) AS first FROM k JOIN p USING (token) WHERE rank <= 6 AND (df <= 1500 OR rank = 1 AND least > 1500) GROUP BY id, p.v_idx),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, first, v_idx) AS place FROM h),
+w AS (SELECT r.id, v_idx, chapter, verse, q, start, list_slice(tokens, start + 1, start + len(q)) AS w FROM (SELECT r.id, r.v_idx, c.chapter, c.verse, c.tokens, q.q, unnest(range(0, len(c.tokens) - len(q.q) + 1)) AS start FROM r JOIN q USING (id) JOIN corpus c ON c.v_idx = r.v_idx WHERE place <= 300) r),
+t AS (SELECT id, v_idx, chapter, verse, start, q, w, {ONE_BYTE.format("array_to_string(q, ' ')")} AS a, {ONE_BYTE.format("array_to_string(w, ' ')")} AS b FROM w),
+l AS (SELECT *, levenshtein(a, b) AS dist, len(list_intersect(list_distinct(q), list_distinct(w))) AS shared, greatest(length(a), length(b)) AS longer FROM t WHERE abs(length(a) - length(b)) <= 0.4 * greatest(length(a), length(b))),
+s AS (SELECT id, v_idx, chapter, verse, start, least(100, 100 * (CASE WHEN a = b THEN 1 ELSE 0.5::DOUBLE * (shared / (len(list_distinct(q)) + len(list_distinct(w)) - shared)) + 0.5::DOUBLE * (1 - dist / longer) END) + CASE WHEN dist <= 2 THEN 10 ELSE 0 END) AS score FROM l)
+SELECT id, v_idx, chapter, verse, start, floor(score + 0.5)::BIGINT AS confidence FROM s WHERE score >= 85 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, v_idx, start) = 1""")
 def fuzzy_window(spark, sf):
-    hits = match.fuzzy(verse_candidates(spark, sf, _swapped), corpus(spark, sf))
-    return hits.select("id", "v_idx", "chapter", "verse", "start", "confidence")
+    hits = alike.fuzzy(verse_candidates(spark, sf, _swapped), corpus(spark, sf))
+    return hits.select("id", "v_idx", "chapter", F.col("verse").cast("long").alias("verse"), F.col("start").cast("long").alias("start"), F.col("confidence").cast("long").alias("confidence"))
+
+
+@query(f"""WITH {VERSES}, {SENTENCES}, k AS (SELECT DISTINCT unnest(tokens) AS near FROM corpus),
+w AS (SELECT DISTINCT x[2] AS word FROM (SELECT string_split(norm, ' ') AS x FROM sentences) WHERE len(x) >= 2)
+SELECT word, near FROM (SELECT word, near, {ONE_BYTE.format('word')} AS a, {ONE_BYTE.format('near')} AS b FROM w JOIN k ON word <> near AND abs(length(word) - length(near)) <= 2 AND greatest(length(word), length(near)) >= 4)
+WHERE {NEAR_SQL.format('a', 'b')}""")
+def near_words(spark, sf):
+    """Second words of the documents' sentences and the corpus's words a typing error apart."""
+    words = sentences(spark, sf).select(F.split("norm", " ").alias("x")).filter(F.size("x") >= 2).select(F.col("x")[1].alias("word"))
+    return alike.near_words(words, corpus(spark, sf).select(F.explode("tokens").alias("word")))
 
 
 def _without_third(text, toks):
@@ -397,6 +422,54 @@ def missing_word(spark, sf):
     return hits.select("id", "chapter", F.col("verse").cast("long").alias("verse"), F.col("start").cast("long").alias("start"), F.col("gap").cast("long").alias("gap"), "missing")
 
 
+#: Recursive walks: `run` takes each place of a first word to the leftmost next place of each word behind it.
+GAPPED = """run AS (
+  SELECT id, q, c.v_idx, c.chapter, c.verse, c.tokens, s AS first, 1 AS k, s AS last FROM q JOIN (SELECT *, unnest(tokens) AS token, unnest(range(len(tokens))) AS s FROM corpus) c ON c.token = q.q[1]
+  UNION ALL
+  SELECT id, q, v_idx, chapter, verse, tokens, first, k + 1, last + list_position(list_slice(tokens, last + 2, len(tokens)), q[k + 1]) FROM run WHERE k < len(q) AND list_contains(list_slice(tokens, last + 2, len(tokens)), q[k + 1])),
+behind AS (
+  SELECT id, q, v_idx, chapter, verse, tokens, first, k AS gap, last AS before, k + 1 + {skip} AS k, last + 2 AS last FROM run WHERE k + 1 + {skip} <= len(q) AND tokens[last + 3] = q[k + 1 + {skip}]
+  UNION ALL
+  SELECT id, q, v_idx, chapter, verse, tokens, first, gap, before, k + 1, last + list_position(list_slice(tokens, last + 2, len(tokens)), q[k + 1]) FROM behind WHERE k < len(q) AND list_contains(list_slice(tokens, last + 2, len(tokens)), q[k + 1])),
+hit AS (SELECT id, q, v_idx, chapter, verse, first AS start, last - first + 1 AS size, gap, tokens[before + 2] AS word, (gap / (before - first + 1) + (len(q) - gap - {skip}) / (last - before - 1)) / 2 AS score FROM behind WHERE k = len(q)),
+best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY id, gap ORDER BY score DESC, v_idx, start) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {VERSES}, q AS (SELECT v_idx AS id, list_concat(list_concat(list_slice(tokens, 1, 2), list_slice(tokens, 4, 5)), list_slice(tokens, 7, len(tokens))) AS q FROM corpus WHERE len(tokens) >= 7),
+{GAPPED.format(skip=0)}
+SELECT id, chapter, verse, start, size::BIGINT AS size, gap::BIGINT AS gap, word, floor(score * 1000000 + 0.5)::BIGINT AS millionths FROM best QUALIFY row_number() OVER (PARTITION BY id ORDER BY gap) = 1""")
+def gapped_missing(spark, sf):
+    """Verses without their third and sixth word: two runs with one word between, and a gap in one of them."""
+    toks = corpus(spark, sf).filter(F.size("tokens") >= 7).select(F.col("v_idx").alias("id"), F.array_join(F.filter("tokens", lambda t, i: (i != 2) & (i != 5)), " ").alias("text"))
+    hits = gapped.one_word_between(match.candidates(toks, T.LATIN), corpus(spark, sf))
+    return _gapped_columns(hits)
+
+
+@query(f"""WITH RECURSIVE {VERSES}, q AS (SELECT v_idx AS id, list_concat(list_concat(list_slice(tokens, 1, 2), [left(tokens[3], length(tokens[3]) - 1) || 'q']), list_concat(list_slice(tokens, 4, 4), list_slice(tokens, 6, len(tokens)))) AS q FROM corpus WHERE len(tokens) >= 7),
+{GAPPED.format(skip=1)}
+SELECT id, chapter, verse, start, size::BIGINT AS size, gap::BIGINT AS gap, word, floor(score * 1000000 + 0.5)::BIGINT AS millionths FROM best
+WHERE 1 - levenshtein({ONE_BYTE.format('q[gap + 1]')}, {ONE_BYTE.format('word')}) / greatest(length(q[gap + 1]), length(word)) >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY gap) = 1""")
+def gapped_substituted(spark, sf):
+    """Verses with a typing error in the third word and without the fifth."""
+    toks = F.transform(F.filter("tokens", lambda t, i: i != 4), lambda t, i: F.when(i == 2, F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.lit("q"))).otherwise(t))
+    made = corpus(spark, sf).filter(F.size("tokens") >= 7).select(F.col("v_idx").alias("id"), F.array_join(toks, " ").alias("text"))
+    return _gapped_columns(gapped.one_word_between(match.candidates(made, T.LATIN), corpus(spark, sf), mistaken=True))
+
+
+def _gapped_columns(hits: DataFrame) -> DataFrame:
+    return hits.select("id", "chapter", *(F.col(c).cast("long").alias(c) for c in ("verse", "start", "size")), F.col("at").cast("long").alias("gap"), "word", F.floor(F.col("score") * 1000000 + 0.5).alias("millionths"))
+
+
+@query(f"""WITH RECURSIVE {VERSES}, q AS (SELECT v_idx AS id, list_filter(list_transform(tokens, lambda t, i: CASE WHEN i % 2 = 0 THEN t END), lambda t: t IS NOT NULL) AS q FROM corpus WHERE len(tokens) >= 4),
+{GAPPED.format(skip=0)}
+SELECT id, chapter, verse, first, last, floor(1000000 * k / (last - first + 1) + 0.5)::BIGINT AS millionths FROM run WHERE k = len(q) AND first > 0""")
+def gapped_sequences(spark, sf):
+    """Every second word of a verse, as a run with gaps behind at least one word."""
+    made = corpus(spark, sf).filter(F.size("tokens") >= 4).select(F.col("v_idx").alias("id"), F.array_join(F.filter("tokens", lambda t, i: i % 2 == 1), " ").alias("text"))
+    hits = gapped.sequences(match.candidates(made, T.LATIN), corpus(spark, sf), backward=True)
+    return hits.select("id", "chapter", *(F.col(c).cast("long").alias(c) for c in ("verse", "first", "last")), F.floor(F.col("coverage") * 1000000 + 0.5).alias("millionths"))
+
+
 @query(f"""WITH {VERSES}, k AS (SELECT DISTINCT unnest(tokens) AS token FROM corpus), w AS (SELECT v_idx AS id, unnest(tokens) AS word, unnest(range(len(tokens))) AS p FROM corpus),
 c AS (SELECT id, p, word, unnest(range(1, length(word))) AS cut FROM w WHERE length(word) >= 5)
 SELECT id, p AS place, cut, left(word, cut) || ' ' || substr(word, cut + 1) AS pair FROM c WHERE left(word, cut) IN (SELECT token FROM k) AND substr(word, cut + 1) IN (SELECT token FROM k)""")
