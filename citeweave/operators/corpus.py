@@ -166,7 +166,12 @@ def third_keys(corpus: DataFrame, words: str = "tokens") -> DataFrame:
     return rarest.select("v_idx", "x.key", "x.offset")
 
 
+def word_pairs(df: DataFrame, words: str, ident: str = "v_idx") -> DataFrame:
+    """ident, pos, key: the pairs of neighbouring words and where they stand."""
+    return df.select(ident, F.posexplode(_pairs(words)).alias("pos", "key"))
+
+
 def places(cands: DataFrame, words: str = "skeleton_tokens") -> DataFrame:
     """id, pos, key: the words and the pairs of neighbouring words of texts, as keys and where they begin."""
-    both = F.concat(F.expr(f"transform({words}, (w, i) -> struct(i as pos, w as key))"), F.expr(f"transform(slice({words}, 2, greatest(size({words}) - 1, 0)), (w, i) -> struct(i as pos, {words}[i] || ' ' || w as key))"))
+    both = F.concat(F.expr(f"transform({words}, (w, i) -> struct(i as pos, w as key))"), F.transform(_pairs(words), lambda w, i: F.struct(i.alias("pos"), w.alias("key"))))
     return cands.select("id", F.explode(both).alias("x")).select("id", "x.pos", "x.key")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 
-from .corpus import exact_keys, places, postings, rare_keys, third_keys
+from .corpus import exact_keys, places, postings, rare_keys, third_keys, word_pairs
 
 #: Confidences and limits of the strategies.
 UNIQUE, AMBIGUOUS, SKELETON, COMPLETED, TYPO, PARTIAL, PARTIAL_TYPO = 100, 92, 97, 95, 88, 90, 85
@@ -68,8 +68,10 @@ def exact(cands: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def prefix(cands: DataFrame, corpus: DataFrame) -> DataFrame:
     """The text begins a longer verse."""
-    verses = corpus.select("v_idx", "chapter", "verse", F.col("norm").alias("v_norm"), F.col("tokens")[0].alias("first"))
-    hits = cands.filter(F.size("tokens") > 0).select("id", "norm", *_HINTS, F.col("tokens")[0].alias("first")).join(verses, "first").filter(F.col("v_norm").startswith(F.concat("norm", F.lit(" "))))
+    # met on the first two words, or the only one
+    head = F.array_join(F.slice("tokens", 1, 2), " ")
+    verses = corpus.select("v_idx", "chapter", "verse", F.col("norm").alias("v_norm"), F.explode(F.array_distinct(F.array(F.col("tokens")[0], head))).alias("head"))
+    hits = cands.filter(F.size("tokens") > 0).select("id", "norm", *_HINTS, head.alias("head")).join(verses, "head").filter(F.col("v_norm").startswith(F.concat("norm", F.lit(" "))))
     ratio = F.length("norm") / F.length("v_norm")
     score = F.when(ratio >= 0.6, 85).when(ratio >= 0.4, 75).otherwise(70) + F.when(F.col("chapter") == F.col("hint_chapter"), CHAPTER_BONUS).otherwise(0)
     hits = hits.withColumn("score", F.max(score).over(Window.partitionBy("id")))
@@ -82,25 +84,22 @@ def by_skeleton(cands: DataFrame, corpus: DataFrame) -> DataFrame:
     return picked(hits).withColumn("confidence", lowered(F.lit(SKELETON))).withColumn("partial", F.lit(False))
 
 
-def _padded(words: Column) -> Column:
-    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-
-
 def run_hits(cands: DataFrame, corpus: DataFrame, skeletons: bool = False) -> DataFrame:
-    """All verses that hold the candidate's words one after another: id, v_idx, chapter, verse, start (word), size."""
+    """All verses that hold the candidate's words one after another: id, v_idx, chapter, verse, start (word), size.
+
+    All pairs of neighbouring words must be known; the rarest one is the key of the join, and tells the place."""
     words = "skeleton_tokens" if skeletons else "tokens"
     some = cands.filter(F.size("tokens") >= 2)
     if skeletons:
         some = some.filter((F.length("skeleton") >= 4) & F.forall(words, lambda t: t != ""))
-    df = postings(corpus, skeletons).groupBy("token").agg(F.count("*").alias("df"))
-    # the rarest word of the candidate is the key of the join
-    rare = some.select("id", F.explode(words).alias("token")).join(df, "token").groupBy("id").agg(F.min(F.struct("df", "token")).alias("x"))
-    keyed = some.join(rare, "id").select("id", F.col(words).alias("q"), *_HINTS, F.col("x.token").alias("token"))
-    verses = corpus.select("v_idx", F.col(words).alias("v"))
-    at = F.instr(_padded(F.col("v")), _padded(F.col("q")))
-    hits = keyed.join(postings(corpus, skeletons), "token").join(verses, "v_idx").withColumn("at", at).filter("at > 0")
-    start = F.size(F.split(F.expr("substring(concat(' ', array_join(v, ' '), ' '), 1, at)"), " ")) - 2
-    return hits.select("id", "v_idx", "chapter", "verse", start.alias("start"), F.size("q").alias("size"), (F.size("v") > F.size("q")).alias("partial"), *_HINTS).distinct()
+    at = word_pairs(corpus, words)
+    df = at.groupBy("key").agg(F.countDistinct("v_idx").alias("df"))
+    known = word_pairs(some, words, "id").join(df, "key").groupBy("id").agg(F.count("*").alias("n_known"), F.min(F.struct("df", "key", "pos")).alias("x"))
+    keyed = some.join(known, "id").filter(F.col("n_known") == F.size("tokens") - 1).select("id", F.col(words).alias("q"), *_HINTS, F.col("x.key").alias("key"), F.col("x.pos").alias("offset"))
+    met = keyed.join(at, "key").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0").join(corpus.select("v_idx", "chapter", "verse", F.col(words).alias("v")), "v_idx")
+    hits = met.filter(F.slice("v", F.col("start") + 1, F.size("q")) == F.col("q"))
+    first = hits.groupBy("id", "v_idx").agg(F.min("start").alias("start"), *(F.first(c).alias(c) for c in ("chapter", "verse", "q", "v", *_HINTS)))
+    return first.select("id", "v_idx", "chapter", "verse", "start", F.size("q").alias("size"), (F.size("v") > F.size("q")).alias("partial"), *_HINTS)
 
 
 def contiguous(cands: DataFrame, corpus: DataFrame) -> DataFrame:
