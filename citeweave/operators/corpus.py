@@ -81,6 +81,29 @@ def from_passages(df: DataFrame, chapter: str, text: str, profile: T.ScriptProfi
     return finished(verses, profile)
 
 
+class _Index:
+    def __init__(self, keep):
+        self.keep, self.tables = keep, {}
+
+
+def indexed(corpus: DataFrame, keep) -> DataFrame:
+    """The corpus with index tables that are made once, when first asked for, and stored by keep(table, name)."""
+    if getattr(corpus, "_index_tables", None) is None:
+        corpus._index_tables = _Index(keep)
+    return corpus
+
+
+def _once(corpus: DataFrame, name: str, make) -> DataFrame:
+    """An index table: the stored one of an `indexed` corpus, or else made in place. A stored one has a known size, so that
+    Spark can send a small one to all tasks instead of shuffling the texts."""
+    index = getattr(corpus, "_index_tables", None)
+    if index is None:
+        return make()
+    if name not in index.tables:
+        index.tables[name] = index.keep(make(), name)
+    return index.tables[name]
+
+
 def exact_keys(corpus: DataFrame) -> DataFrame:
     """key, v_idx: every text under which a verse is found as a whole."""
     keys = F.array_distinct(F.filter(F.array("norm", "alias", "script_norm"), lambda k: k.isNotNull() & (k != "")))
@@ -90,11 +113,11 @@ def exact_keys(corpus: DataFrame) -> DataFrame:
 def postings(corpus: DataFrame, skeletons: bool = False) -> DataFrame:
     """token, v_idx: which verses have a token; of skeletons without empty ones."""
     words = F.col("skeleton_tokens") if skeletons else F.concat("tokens", F.coalesce(T.tokens_of(F.col("alias")), F.array().cast("array<string>")))
-    return corpus.select(F.explode(F.array_distinct(words)).alias("token"), "v_idx", "chapter", "verse").filter("token <> ''")
+    return _once(corpus, f"postings-{skeletons}", lambda: corpus.select(F.explode(F.array_distinct(words)).alias("token"), "v_idx", "chapter", "verse").filter("token <> ''"))
 
 
 def document_frequency(corpus: DataFrame, skeletons: bool = False) -> DataFrame:
-    return postings(corpus, skeletons).groupBy("token").agg(F.count("*").alias("df"))
+    return _once(corpus, f"token-df-{skeletons}", lambda: postings(corpus, skeletons).groupBy("token").agg(F.count("*").alias("df")))
 
 
 def positions(corpus: DataFrame) -> DataFrame:
@@ -136,7 +159,7 @@ def ranked_candidates(queries: DataFrame, corpus: DataFrame, limit: int = 400, p
 
 def pair_frequency(corpus: DataFrame, words: str = "skeleton_tokens") -> DataFrame:
     """key, df: in how many verses two neighbouring words stand."""
-    return corpus.select("v_idx", F.explode(F.array_distinct(_pairs(words))).alias("key")).groupBy("key").agg(F.count("*").alias("df"))
+    return _once(corpus, f"pair-df-{words}", lambda: corpus.select("v_idx", F.explode(F.array_distinct(_pairs(words))).alias("key")).groupBy("key").agg(F.count("*").alias("df")))
 
 
 def _pairs(words: str) -> Column:
@@ -150,7 +173,7 @@ def rare_keys(corpus: DataFrame, words: str = "skeleton_tokens") -> DataFrame:
     places of rare pairs."""
     at = corpus.select("v_idx", F.size(words).alias("size"), F.posexplode(F.when(F.size(words) > 1, _pairs(words)).otherwise(F.col(words))).alias("offset", "key"))
     rarest = at.join(pair_frequency(corpus, words), "key", "left").groupBy("v_idx").agg(F.first("size").alias("size"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "key")).alias("x"))
-    return rarest.select("v_idx", "x.key", "x.offset", "size")
+    return _once(corpus, f"rare-keys-{words}", lambda: rarest.select("v_idx", "x.key", "x.offset", "size"))
 
 
 def third_keys(corpus: DataFrame, words: str = "tokens") -> DataFrame:
@@ -163,12 +186,12 @@ def third_keys(corpus: DataFrame, words: str = "tokens") -> DataFrame:
     keys = F.expr("transform(sequence(t.a, greatest(t.b - 2, t.a)), i -> struct(i as offset, if(t.b - t.a > 1, w[i] || ' ' || w[i + 1], w[i]) as key))")
     one = at.select("v_idx", "t.a", F.explode(keys).alias("x")).select("v_idx", "a", "x.key", "x.offset")
     rarest = one.join(pair_frequency(corpus, words), "key", "left").groupBy("v_idx", "a").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "key")).alias("x"))
-    return rarest.select("v_idx", "x.key", "x.offset")
+    return _once(corpus, f"third-keys-{words}", lambda: rarest.select("v_idx", "x.key", "x.offset"))
 
 
 def word_pairs(df: DataFrame, words: str, ident: str = "v_idx") -> DataFrame:
     """ident, pos, key: the pairs of neighbouring words and where they stand."""
-    return df.select(ident, F.posexplode(_pairs(words)).alias("pos", "key"))
+    return _once(df, f"pairs-{words}", lambda: df.select(ident, F.posexplode(_pairs(words)).alias("pos", "key")))
 
 
 def places(cands: DataFrame, words: str = "skeleton_tokens") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 
-from .corpus import postings
+from .corpus import document_frequency, postings
 
 #: Fixed value: how alike a mistaken word and the verse's have to be.
 WORD_ALIKE = 0.5
@@ -28,7 +28,7 @@ def _walk(verse: Column, words: Column, first: Column) -> Column:
 
 def _verses(cands: DataFrame, corpus: DataFrame, probes: int) -> DataFrame:
     """Texts with verses that hold their first word and one of their `probes` rarest distinct words: id, v_idx, q, v, first."""
-    df = postings(corpus).groupBy("token").agg(F.count("*").alias("df"))
+    df = document_frequency(corpus)
     some = cands.filter(F.size("tokens") >= 1).select("id", F.col("tokens").alias("q"), "hint_chapter")
     words = some.select("id", F.explode(F.array_distinct("q")).alias("token")).join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = words.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))).filter(F.col("rank") <= probes).filter("df > 0").select("id", "token")

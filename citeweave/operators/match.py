@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 
-from .corpus import exact_keys, places, postings, rare_keys, third_keys, word_pairs
+from .corpus import exact_keys, pair_frequency, places, postings, rare_keys, third_keys, word_pairs
 
 #: Confidences and limits of the strategies.
 UNIQUE, AMBIGUOUS, SKELETON, COMPLETED, TYPO, PARTIAL, PARTIAL_TYPO = 100, 92, 97, 95, 88, 90, 85
@@ -93,7 +93,7 @@ def run_hits(cands: DataFrame, corpus: DataFrame, skeletons: bool = False) -> Da
     if skeletons:
         some = some.filter((F.length("skeleton") >= 4) & F.forall(words, lambda t: t != ""))
     at = word_pairs(corpus, words)
-    df = at.groupBy("key").agg(F.countDistinct("v_idx").alias("df"))
+    df = pair_frequency(corpus, words)
     known = word_pairs(some, words, "id").join(df, "key").groupBy("id").agg(F.count("*").alias("n_known"), F.min(F.struct("df", "key", "pos")).alias("x"))
     keyed = some.join(known, "id").filter(F.col("n_known") == F.size("tokens") - 1).select("id", F.col(words).alias("q"), *_HINTS, F.col("x.key").alias("key"), F.col("x.pos").alias("offset"))
     met = keyed.join(at, "key").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0").join(corpus.select("v_idx", "chapter", "verse", F.col(words).alias("v")), "v_idx")

@@ -7,14 +7,17 @@ and what each stage finds are stored tables (`store.kept`), so each stage is pla
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
+from citeweave.operators import corpus as C
 from citeweave.operators import alike, chain, extract, gapped, match, render, review
-from citeweave.plans.store import kept
+from citeweave.operators.numbering import numbered
+from citeweave.plans.store import kept, shared_folder, slots
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,7 @@ def resolved(cands: DataFrame, corpus: DataFrame, cfg: Config) -> DataFrame:
     corpus: a table that is read many times, so best a stored one.
     The first to reach confidence 100 wins; of the others the surest, then the earlier.
     """
+    corpus = C.indexed(corpus, kept)
     some = kept(cands.filter(F.size("tokens") >= 2), "candidates")
     runs = kept(match.verse_runs(some, corpus), "runs")
     tied = match.chains(some, corpus, runs=runs).join(some.select("id", F.size("tokens").alias("n")), "id").filter("pos = 0 and end = n").groupBy("id").agg((F.count("*") > 1).alias("ambiguous"))
@@ -136,13 +140,13 @@ def rendered(hits: DataFrame, corpus: DataFrame, cfg: Config) -> DataFrame:
     return one.join(hits.drop("chapter", "verse", "end_verse", "steps", "w_start", "w_size", "partial"), "id")
 
 
-def replacements(rows: DataFrame, corpus: DataFrame, cfg: Config = Config(), ident: str = "id", text: str = "text", chapter: str | None = None, verse: str | None = None) -> DataFrame:
+def replacements(rows: DataFrame, corpus: DataFrame, cfg: Config = Config(), ident: str = "id", text: str = "text", chapter: str | None = None, verse: str | None = None, stored: bool = False) -> DataFrame:
     """The fact table: a row for each quotation that is linked and would change.
 
     Quotations that aren't sure and stand among others that name one chapter are read again with that chapter as the
     hint; the new reading counts if it is surer.
     """
-    corpus = kept(corpus, "corpus")
+    corpus = C.indexed(corpus if stored else kept(corpus, "corpus"), kept)
     quotes = kept(quotations(rows, cfg, ident, text, chapter, verse), "quotations")
 
     def read(keyed: DataFrame) -> DataFrame:
@@ -170,9 +174,11 @@ def replacements(rows: DataFrame, corpus: DataFrame, cfg: Config = Config(), ide
     return out.select(*FACTS)
 
 
-def process(rows: DataFrame, corpus: DataFrame, cfg: Config = Config(), ident: str = "id", text: str = "text", **hints) -> DataFrame:
-    """The rows with `modified_text`, `n_replacements`, `total_verses`, `low_confidence`, `ambiguous` and `average_confidence`."""
-    facts = replacements(rows, corpus, cfg, ident, text, **hints)
+def process(rows: DataFrame, corpus: DataFrame, cfg: Config = Config(), ident: str = "id", text: str = "text", stored: bool = False, **hints) -> DataFrame:
+    """The rows with `modified_text`, `n_replacements`, `total_verses`, `low_confidence`, `ambiguous` and `average_confidence`.
+
+    stored: the corpus is a stored table already."""
+    facts = replacements(rows, corpus, cfg, ident, text, stored=stored, **hints)
     reps = facts.groupBy(F.col("row_index").alias(ident)).agg(
         F.collect_list(F.struct("start", "end", "formatted")).alias("_reps"),
         F.sum("verse_count").alias("total_verses"),
@@ -185,10 +191,40 @@ def process(rows: DataFrame, corpus: DataFrame, cfg: Config = Config(), ident: s
     return out.withColumn("modified_text", F.when(F.col("_reps").isNull(), F.col(text)).otherwise(render.spliced(F.col(text), F.col("_reps")))).withColumn("n_replacements", F.coalesce(F.size("_reps"), F.lit(0))).withColumns(zero).drop("_reps")
 
 
+def report_rows(facts: DataFrame, source: str | None = None) -> DataFrame:
+    """The facts as rows of a report: `id` from 1 in order of row and place, and where they come from."""
+    return numbered(facts.withColumn("source", F.lit(source)), ["row_index", "start", "end"], "id", kept).select("id", "source", *facts.columns)
+
+
 def process_stream(stream: DataFrame, corpus: DataFrame, path: str, checkpoint: str, cfg: Config = Config(), trigger: dict | None = None, **names):
-    """A streaming query that runs the same batch transform over each micro-batch and appends Parquet to path."""
+    """A streaming query that runs the same batch transform over each micro-batch and writes Parquet to path.
+
+    A batch is written to a folder of its own (`batch_id=<n>`), so one that is run again after a failure takes the place of
+    what it left: each row comes out once. The corpus is stored once, and the tables of a batch take the places of those of
+    the batch before. All jobs carry the tag `citeweave-<path>`, by which `cancel_stream` ends them.
+    """
+    spark = corpus.sparkSession
+    corpus = C.indexed(kept(corpus, "corpus"), kept)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark.sparkContext.addJobTag(stream_tag(path))
+        with slots(folder):
+            out = process(df, C.indexed(corpus.select("*"), kept), cfg, **names, stored=True)
+            out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={number}")
+
     out = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"}))
-    return out.foreachBatch(lambda df, _: process(df, corpus, cfg, **names).write.mode("append").parquet(path)).start()
+    return out.foreachBatch(batch).start()
+
+
+def stream_tag(path: str) -> str:
+    return "citeweave-" + path.replace(",", "_")
+
+
+def cancel_stream(spark: SparkSession, query, path: str) -> None:
+    """End a query of `process_stream` and the jobs that it runs; the batch that was cut short is run again by the next start."""
+    spark.sparkContext.cancelJobsWithTag(stream_tag(path))
+    query.stop()
 
 
 def format_text(text: str, corpus: DataFrame, cfg: Config = Config()) -> str:

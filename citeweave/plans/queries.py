@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 from citeweave.operators import corpus as C
+from citeweave.operators.numbering import numbered
 from citeweave.operators import alike, chain, extract, gapped, match, render, review
 from citeweave.plans import engine
 from citeweave.plans.store import kept
@@ -658,6 +659,23 @@ def process_rows(spark, sf):
     return out.select("id", "modified_text", "n_replacements", F.col("total_verses").cast("long").alias("total_verses"), "average_confidence")
 
 
+@query(f"""WITH {VERSES}, q AS (SELECT v_idx, chapter, verse, CASE v_idx % 4 WHEN 0 THEN '«' WHEN 1 THEN '{{' WHEN 2 THEN '﴿' ELSE '(' END || text || CASE v_idx % 4 WHEN 0 THEN '»' WHEN 1 THEN '}}' WHEN 2 THEN '﴾' ELSE ')' END AS original,
+  '﴿' || regexp_replace(text, '\\s+', ' ', 'g') || '﴾ [سورة ' || chapter || ': ' || translate(verse::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') || ']' AS formatted FROM corpus)
+SELECT row_number() OVER (ORDER BY v_idx) AS id, 'benchmark' AS source, v_idx AS row_index, 4::BIGINT AS start, original, formatted, chapter, verse, 100::BIGINT AS confidence FROM q""")
+def report_rows(spark, sf):
+    """The engine's facts over quoted verses, as numbered rows of a report."""
+    facts = engine.replacements(quoted_rows(spark, sf), corpus(spark, sf), engine.Config(profile=T.LATIN), chapter="chapter", verse="verse")
+    out = engine.report_rows(facts, "benchmark")
+    return out.select("id", "source", "row_index", F.col("start").cast("long").alias("start"), "original", "formatted", F.col("chapter").cast("long").alias("chapter"), F.col("verse").cast("long").alias("verse"), F.col("confidence").cast("long").alias("confidence"))
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+def dense_numbers(spark, sf):
+    """Orders numbered by price, over many tasks."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return numbered(orders, [F.desc("o_totalprice"), F.col("o_orderkey")], "place", kept)
+
+
 @query()
 def cascade_best(spark, sf):
     """The reading that the cascade picks for each verse with a word reversed, a word left out, or cut short."""
