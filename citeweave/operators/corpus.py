@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 
+from .numbering import numbered
+
 # Names under which a field of a corpus record may come.
 FIELDS = {"chapter": ["surah_num", "surahNum", "sura"], "verse": ["ayah_num", "ayahNum", "aya"], "plain": ["ayah_imlai", "ayahImlai"], "script": ["ayah_uthmani", "ayahUthmani"], "bare": ["ayah_notashkil", "ayahNotashkil"], "page": ["page_num", "pageNum"], "id": ["ID", "id"]}
 
@@ -26,8 +28,10 @@ def _any(df: DataFrame, names: list[str], kind: str) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast(kind)
 
 
-def from_records(df: DataFrame, profile: T.ScriptProfile = T.ARABIC, order: str | None = None) -> DataFrame:
-    """A corpus from raw records. Records without text, chapter or verse are dropped; a corpus without any is an error."""
+def from_records(df: DataFrame, profile: T.ScriptProfile = T.ARABIC, order: str | None = None, keep=None) -> DataFrame:
+    """A corpus from raw records. Records without text, chapter or verse are dropped; a corpus without any is an error.
+
+    keep: stores a table; with it verses are numbered by many tasks, without it by one."""
     raw = df.select(*(_any(df, names, "int" if k in ("chapter", "verse", "page") else "string").alias(k) for k, names in FIELDS.items()), *([F.col(order).alias("_order")] if order else []))
     main = F.coalesce(F.nullif("plain", F.lit("")), F.nullif("script", F.lit("")))
     norm = T.normalized(main, profile)
@@ -35,8 +39,11 @@ def from_records(df: DataFrame, profile: T.ScriptProfile = T.ARABIC, order: str
     out = raw.filter(main.isNotNull() & (F.coalesce("chapter", F.lit(0)) != 0) & (F.coalesce("verse", F.lit(0)) != 0)).withColumn("norm", norm).filter("norm <> ''")
     alias = T.normalized(F.col("bare"), profile, join_prefixes=False)
     out = out.withColumn("alias", F.when((alias != "") & (alias != F.col("norm")), alias)).withColumn("script_norm", T.normalized(F.col("script"), profile))
-    place = Window.orderBy(*([F.col("_order")] if order else []), "chapter", "verse")  # a corpus is a dimension: thousands of rows
-    out = out.withColumn("v_idx", F.row_number().over(place) - 1)
+    by = [*([F.col("_order")] if order else []), F.col("chapter"), F.col("verse")]
+    if keep:
+        out = numbered(out, by, "v_idx", keep).withColumn("v_idx", F.col("v_idx") - 1)
+    else:  # a corpus of thousands of rows
+        out = out.withColumn("v_idx", F.row_number().over(Window.orderBy(*by)) - 1)
     out = out.select("v_idx", "chapter", "verse", main.alias("text"), F.coalesce("script", main).alias("script"), "norm", "alias", "script_norm", "page")
     return finished(out, profile)
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from citeweave.functions import text as T
+from citeweave.sources.single_file import write_lines
+
+from .numbering import numbered
 
 LOW = 80
 #: Code points between two quotations of one cluster, and the votes that a chapter needs in it.
@@ -42,6 +45,31 @@ def paged(facts: DataFrame, page: int, order: list[Column], size: int = 200) ->
     return facts.orderBy(*order).offset(max(page - 1, 0) * size).limit(size)
 
 
+#: Rows of a block of a page index at least, and blocks at most.
+BLOCK_ROWS, BLOCKS = 1000, 1000
+
+
+def page_index(facts: DataFrame, order: list[Column], path: str, keep) -> DataFrame:
+    """The rows in an order, stored once under `path` in blocks of neighbouring places (`place` from 1, folders by `block`), for `page_of`.
+
+    The order is made by `numbering.numbered`, so no task sees all rows; blocks grow with the rows, their number doesn't."""
+    placed = numbered(facts, order, "place", keep)
+    rows = max(BLOCK_ROWS, -(-placed.count() // BLOCKS))
+    blocks = placed.withColumn("block", F.floor((F.col("place") - 1) / rows).cast("int"))
+    blocks.repartition("block").sortWithinPartitions("block", "place").write.mode("overwrite").partitionBy("block").parquet(path)
+    out = facts.sparkSession.read.schema(blocks.schema).parquet(path)
+    out._block_rows = rows
+    return out
+
+
+def page_of(index: DataFrame, page: int, size: int = 200) -> DataFrame:
+    """One page (from 1) of a page index, in order: only the blocks that hold it are read."""
+    first = max(page - 1, 0) * size + 1
+    last = first + size - 1
+    rows = index._block_rows
+    return index.filter(F.col("block").between((first - 1) // rows, (last - 1) // rows)).filter(F.col("place").between(first, last)).orderBy("place").drop("block")
+
+
 #: Keys that rows may be sorted by, and the columns behind them.
 KEYS = {"id": "row_index", "before": "original", "after": "formatted", "confidence": "confidence", "page": "page", "surah": "chapter_name", "ayahRange": "verse", "count": "verse_count", "correctionType": "correction_type"}
 
@@ -150,18 +178,13 @@ def write_report(lines: DataFrame, path: str, separator: str = "\n") -> None:
 
 
 def write_document(lines: DataFrame, path: str, separator: str = "\n") -> None:
-    """One file with the separator between the lines and none behind the last. It has one writer: the driver, line by line."""
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        for i, r in enumerate(lines.orderBy("part", "r", "s").select("line").toLocalIterator()):
-            f.write((separator if i else "") + r.line)
+    """One file with the separator between the lines and none behind the last, written by many tasks."""
+    write_lines(lines, ["part", "r", "s"], path, separator)
 
 
 def write_json_document(facts: DataFrame, path: str, generated_at: str, meta: dict | None = None, columns: list[str] = REPORT) -> None:
-    """The report as one JSON document: generatedAt, summary (meta first) and rows. The driver writes it row by row."""
-    lines = json_report(facts, columns).orderBy("part", "r", "s").select("line").toLocalIterator()
-    summary = (meta or {}) | json.loads(next(lines).line)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(f'{{"generatedAt": {json.dumps(generated_at)}, "summary": {json.dumps(summary, ensure_ascii=False)}, "rows": [')
-        for i, r in enumerate(lines):
-            f.write(("," if i else "") + "\n" + r.line)
-        f.write("\n]}")
+    """The report as one JSON document: generatedAt, summary (meta first) and rows, written by many tasks."""
+    lines = json_report(facts, columns)
+    summary = (meta or {}) | json.loads(lines.filter("part = 0").first().line)
+    head = f'{{"generatedAt": {json.dumps(generated_at)}, "summary": {json.dumps(summary, ensure_ascii=False)}, "rows": ['
+    write_lines(lines.filter("part = 1"), ["r", "s"], path, ",\n", head, "\n", "\n]}")

@@ -5,17 +5,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citeweave.functions import sql as sql_functions_of
 from citeweave.functions import text as T
 from citeweave.operators import corpus as C
 from citeweave.operators.numbering import numbered
 from citeweave.operators import alike, chain, extract, gapped, match, render, review
 from citeweave.plans import engine
-from citeweave.plans.store import kept
+from citeweave.plans.store import kept, shared_folder
 from citeweave.sources import documents as docs_io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -581,7 +583,8 @@ def report_search(spark, sf):
 
 @query(f"WITH {FACTS} SELECT row_index, start, original FROM facts ORDER BY row_index, start, original LIMIT 20 OFFSET 20")
 def report_page(spark, sf):
-    return review.paged(_sentence_facts(spark, sf), 2, [F.col("row_index"), F.col("start"), F.col("original")], 20).select("row_index", F.col("start").cast("long").alias("start"), "original")
+    index = review.page_index(_sentence_facts(spark, sf), [F.col("row_index"), F.col("start"), F.col("original")], f"{shared_folder(spark)}/page-index-{uuid.uuid4().hex}", kept)
+    return review.page_of(index, 2, 20).select("row_index", F.col("start").cast("long").alias("start"), "original")
 
 
 @query(f"WITH {FACTS}, r AS (SELECT * FROM facts WHERE length(original) % 3 = 0) SELECT row_index, original FROM facts WHERE {NORM.format('original')} NOT IN (SELECT {NORM.format('original')} FROM r)")
@@ -669,6 +672,16 @@ def report_rows(spark, sf):
     return out.select("id", "source", "row_index", F.col("start").cast("long").alias("start"), "original", "formatted", F.col("chapter").cast("long").alias("chapter"), F.col("verse").cast("long").alias("verse"), F.col("confidence").cast("long").alias("confidence"))
 
 
+@query(f"WITH {SENTENCES} SELECT doc_id, pos, norm, {SKEL.format('norm')} AS skeleton, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END::BIGINT AS n_tokens FROM sentences")
+def sql_functions(spark, sf):
+    """Sentences through the functions that are registered for SQL."""
+    sql_functions_of.register(spark, T.LATIN)
+    table(spark, sf, "documents").createOrReplaceTempView("citeweave_documents")
+    return spark.sql(r"""
+      SELECT doc_id, cast(pos AS long) AS pos, citeweave_normalized(text) AS norm, citeweave_skeleton(text) AS skeleton, cast(size(citeweave_tokens(text)) AS long) AS n_tokens
+      FROM (SELECT doc_id, pos, trim(s) AS text FROM citeweave_documents LATERAL VIEW posexplode(split(text, '[.\n]+')) AS pos, s) WHERE length(text) > 12""")
+
+
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
 def dense_numbers(spark, sf):
     """Orders numbered by price, over many tasks."""

@@ -1,5 +1,5 @@
-"""Structured Streaming: the stateless transforms over micro-batches."""
+"""Structured Streaming: the stateless transforms over micro-batches, each written once."""
 
-from citeweave.plans.engine import process_stream
+from citeweave.plans.engine import cancel_stream, process_stream
 
-__all__ = ["process_stream"]
+__all__ = ["cancel_stream", "process_stream"]
