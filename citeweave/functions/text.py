@@ -75,8 +75,8 @@ def tokens_of(norm: Column) -> Column:
     return F.filter(F.split(norm, " "), lambda x: x != "")
 
 
-def tokens(text: Column, profile: ScriptProfile = ARABIC) -> Column:
-    return tokens_of(normalized(text, profile))
+def tokens(text: Column, profile: ScriptProfile = ARABIC, join_prefixes: bool = True) -> Column:
+    return tokens_of(normalized(text, profile, join_prefixes))
 
 
 def skeleton_of(norm: Column, profile: ScriptProfile = ARABIC) -> Column:

@@ -1,6 +1,6 @@
 """Matching candidates with verses: each strategy is a join, each choice a window.
 
-A candidate is a row (id, norm, tokens, skeleton, skeleton_tokens, hint_chapter, hint_verse); see `candidates`. Every
+A candidate is a row (id, norm, tokens, unjoined, skeleton, skeleton_tokens, hint_chapter, hint_verse); see `candidates`. Every
 strategy returns hits (id, v_idx, chapter, verse, confidence, ...). Text is compared through equi-joins on a key or a
 token, with the exact test as a residual, so no strategy is a nested loop.
 """
@@ -21,7 +21,7 @@ REPEATS, NEAR_VERSES, ALTERNATIVES, CHAPTER_BONUS = 60, 3, 8, 6
 
 def recast(df: DataFrame, profile: T.ScriptProfile) -> DataFrame:
     """Candidates (id, tokens, ...) whose words were changed: the columns made of the words, anew."""
-    out = df.withColumn("norm", F.array_join("tokens", " "))
+    out = df.withColumn("norm", F.array_join("tokens", " ")).withColumn("unjoined", F.col("tokens"))
     return out.withColumn("skeleton", T.skeleton_of(F.col("norm"), profile)).withColumn("skeleton_tokens", F.transform("tokens", lambda t: T.skeleton_of(t, profile)))
 
 
@@ -29,7 +29,8 @@ def candidates(df: DataFrame, profile: T.ScriptProfile, text: str = "text", iden
     """Candidates from a table of texts; hints of 0 or no number are none."""
     hint = lambda c: F.expr(f"nullif(try_cast(trim(cast(`{c}` as string)) as int), 0)") if c else F.lit(None).cast("int")
     out = df.select(F.col(ident).alias("id"), F.col(text).alias("raw"), T.normalized(F.col(text), profile).alias("norm"), hint(chapter).alias("hint_chapter"), hint(verse).alias("hint_verse"))
-    return out.withColumn("tokens", T.tokens_of(F.col("norm"))).withColumn("skeleton", T.skeleton_of(F.col("norm"), profile)).withColumn("skeleton_tokens", F.transform("tokens", lambda t: T.skeleton_of(t, profile)))
+    out = out.withColumn("tokens", T.tokens_of(F.col("norm"))).withColumn("unjoined", T.tokens(F.col("raw"), profile, False) if profile.prefix_join else F.col("tokens"))
+    return out.withColumn("skeleton", T.skeleton_of(F.col("norm"), profile)).withColumn("skeleton_tokens", F.transform("tokens", lambda t: T.skeleton_of(t, profile)))
 
 
 def picked(hits: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
@@ -103,10 +104,14 @@ def run_hits(cands: DataFrame, corpus: DataFrame, skeletons: bool = False) -> Da
 
 
 def contiguous(cands: DataFrame, corpus: DataFrame) -> DataFrame:
-    """The text is a run of words of a verse; by skeletons where no verse has the words themselves."""
+    """The text is a run of words of a verse; where no verse has it, of a verse's other spelling, as written without joined
+    particles; where none has that, by skeletons."""
     plain = run_hits(cands, corpus).withColumn("score", F.lit(UNIQUE))
     rest = cands.join(plain.select("id").distinct(), "id", "left_anti")
-    hits = plain.unionByName(run_hits(rest, corpus, skeletons=True).withColumn("score", F.lit(SKELETON)))
+    spelled = corpus.filter("alias is not null").withColumn("tokens", T.tokens_of(F.col("alias")))
+    other = run_hits(rest.withColumn("tokens", F.col("unjoined")), spelled).withColumn("score", F.lit(UNIQUE))
+    rest = rest.join(other.select("id").distinct(), "id", "left_anti")
+    hits = plain.unionByName(other).unionByName(run_hits(rest, corpus, skeletons=True).withColumn("score", F.lit(SKELETON)))
     return picked(hits).withColumn("confidence", lowered(F.col("score")))
 
 

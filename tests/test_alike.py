@@ -108,3 +108,11 @@ def test_runs_with_a_word_between_equal_all_splits(spark):
                     if len(at) == len(q) and (first > 0 if backward else at[-1] + 1 < len(w)):
                         want.add((i, v, first, at[-1]))
         assert got == want and got
+
+
+def test_a_run_of_the_other_spelling(spark):
+    rows = spark.createDataFrame([(1, 1, "one two three four five", "one too three for five"), (1, 2, "six seven eight", None)], "sura int, aya int, ayahImlai string, ayahNotashkil string")
+    corpus = C.from_records(rows, LATIN).cache()
+    cands = cands_of(spark, ["too three for", "two three", "twe thre", "seven eight", "too seven"])
+    got = {r.id: (r.verse, r.start, r.confidence) for r in match.contiguous(cands, corpus).collect()}
+    assert got == {0: (1, 1, 100), 1: (1, 1, 100), 2: (1, 1, 97), 3: (2, 1, 100)}
