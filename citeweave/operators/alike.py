@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from citeweave.functions import text as T
 
 from .align import LONG, NEAR_LETTERS
-from .corpus import positions, ranked_candidates
+from .corpus import canonical_frequency, positions, ranked_candidates
 
 #: Least score of a window, verses that are looked at for a text, how much lengths may differ, what two letters' distance adds.
 FUZZY, FUZZY_POOL, LENGTHS, CLOSE, BONUS = 85, 300, 0.4, 2, 10
@@ -31,7 +31,7 @@ def windows(cands: DataFrame, corpus: DataFrame, least: float = FUZZY) -> DataFr
     text's rarest words, as many of which are tried as a window of that score can't all lack."""
     some = cands.filter(F.size("tokens") >= 2).select("id", F.size("tokens").alias("n"), F.array_distinct("tokens").alias("set"))
     at = positions(corpus)
-    df = at.select("v_idx", "token").distinct().groupBy("token").agg(F.count("*").alias("df"))
+    df = canonical_frequency(corpus)
     words = some.select("id", "n", F.size("set").alias("size"), F.explode("set").alias("token")).join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
     probes = words.withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - _least_shared(F.col("size"), least) + 1).filter("df > 0").select("id", "n", "token")

@@ -127,6 +127,11 @@ def document_frequency(corpus: DataFrame, skeletons: bool = False) -> DataFrame:
     return _once(corpus, f"token-df-{skeletons}", lambda: postings(corpus, skeletons).groupBy("token").agg(F.count("*").alias("df")))
 
 
+def canonical_frequency(corpus: DataFrame) -> DataFrame:
+    """token, df: in how many verses a canonical token stands."""
+    return _once(corpus, "canonical-df", lambda: positions(corpus).select("v_idx", "token").distinct().groupBy("token").agg(F.count("*").alias("df")))
+
+
 def positions(corpus: DataFrame) -> DataFrame:
     """token, v_idx, pos (from 0) of the canonical tokens."""
     return corpus.select("v_idx", "chapter", "verse", F.posexplode("tokens").alias("pos", "token"))

@@ -72,6 +72,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def variants(cands: DataFrame, corpus: DataFrame, profile: T.ScriptProfile) -> DataFrame:
     """Candidates with a word cut in two or two written as one; id is the variant's own, of the candidate's."""
     hints = cands.select("id", "raw", "hint_chapter", "hint_verse")
+    # a form is found where all its words are known, and it is made of one word or of two
+    unknown = cands.select("id", F.explode("tokens").alias("token")).join(C.document_frequency(corpus).select("token"), "token", "left_anti").groupBy("id").agg(F.count("*").alias("n")).filter("n > 2")
+    cands = cands.join(unknown.select("id"), "id", "left_anti")
     made = match.unglued(cands, corpus).select("id", "tokens").union(match.rejoined(cands, corpus).select("id", "tokens")).distinct()
     made = made.join(hints, "id").withColumn("of", F.col("id")).withColumn("id", F.xxhash64("of", "tokens"))
     return match.recast(made, profile)
