@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
+from citeweave.sources.json_ranges import JsonDocument
+from citeweave.sources.single_file import write_lines
+
 # Names of the first columns of a positional table, and the keys that may wrap one.
 POSITIONAL, WRAPPERS = ["SuraID", "AyahID", "AyahText"], ["rows", "data", "records", "verses"]
 SLICE = 100_000
@@ -157,21 +160,19 @@ def read_json_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     Arrays of arrays: short rows get nulls, a row that is no array is all null. Arrays of objects: the keys in the order
     they come. An object: the first of its keys rows, data, records, verses that isn't missing.
     """
-    document = spark.read.text(path, wholetext=True)
-    parsed = document.select(F.parse_json("value").alias("v"))
+    document, span = JsonDocument(spark, path), (None, None)
     layout: dict = {"wrapper": None}
-    kind = parsed.select(F.expr("schema_of_variant(v)")).first()[0]
-    if kind.startswith("OBJECT"):
+    if document.keys is not None:
+        values = {k: (a, b) for k, a, b in document.keys}
         for w in WRAPPERS:
-            inner = parsed.select(F.expr(f"variant_get(v, '$.{w}')").alias("v"))
-            if inner.select(F.col("v").isNotNull()).first()[0]:
+            if w in values and not document.missing(*values[w]):
+                span, layout["wrapper"] = values[w], w
                 # what stands beside the rows is kept as it is, for writing it back
-                keys = document.select(F.json_object_keys("value")).first()[0]
-                beside = parsed.select(*(F.expr(f"to_json(variant_get(v, '$[\\'{k}\\']'))").alias(f"k{i}") for i, k in enumerate(keys) if k != w)).first() if len(keys) > 1 else {}
-                layout["beside"] = [(k, None if k == w else beside[f"k{i}"]) for i, k in enumerate(keys)]
-                parsed, layout["wrapper"] = inner, w
+                layout["beside"] = [(k, None if k == w else document.text(*values[k])) for k in values]
                 break
-    rows = parsed.select(F.expr("posexplode(cast(v as array<variant>))")).toDF("row_index", "r")
+        else:
+            raise ValueError("the document holds no table")
+    rows = document.elements(*span).select("row_index", F.parse_json("value").alias("r"))
     first = rows.filter(F.col("r").isNotNull() & ~F.expr("is_variant_null(r)")).orderBy("row_index").select(F.expr("schema_of_variant(r)")).limit(1).collect()
     if not first:
         raise ValueError("the document holds no rows")
@@ -194,28 +195,23 @@ def read_json_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 
 def write_json_table(table: DataFrame, layout: dict, path: str) -> None:
-    """The document in its layout again, two blanks a level, with what stood beside the rows. One document has one writer:
-    the driver, row by row."""
-    around = layout.get("beside") or [(layout["wrapper"], None)]
-    with open(path, "w", encoding="utf-8") as f:
-        def rows() -> None:
-            f.write("[")
-            for i, r in enumerate(table.orderBy("row_index").toLocalIterator()):
-                cells = [None if r[c] is None else json.loads(r[c]) for c in layout["columns"]]
-                row = dict(zip(layout["columns"], cells)) if layout["objects"] else cells
-                f.write(("," if i else "") + "\n  " + json.dumps(row, ensure_ascii=False))
-            f.write("\n]")
-
-        if not layout["wrapper"]:
-            rows()
-            return
-        for i, (key, value) in enumerate(around):
-            f.write(("," if i else "{") + f"\n  {json.dumps(key, ensure_ascii=False)}: ")
-            if key == layout["wrapper"]:
-                rows()
-            else:
-                f.write("null" if value is None else json.dumps(json.loads(value), ensure_ascii=False))
-        f.write("\n}")
+    """The document in its layout again, a row a line, with what stood beside the rows. Many tasks write it, and it
+    appears as a whole; the path must lie where the driver and all executors see it."""
+    names = [json.dumps(c, ensure_ascii=False) + ": " if layout["objects"] else "" for c in layout["columns"]]
+    cells = F.concat_ws(", ", *(F.concat(F.lit(n), F.coalesce(F.col("`" + c.replace("`", "``") + "`"), F.lit("null"))) for n, c in zip(names, layout["columns"])))
+    left, right = "{}" if layout["objects"] else "[]"
+    before, after, seen = [], [], False
+    for key, value in layout.get("beside") or [(layout["wrapper"], None)] if layout["wrapper"] else []:
+        if key == layout["wrapper"]:
+            seen = True
+        else:
+            (after if seen else before).append(f"\n  {json.dumps(key, ensure_ascii=False)}: {json.dumps(json.loads(value), ensure_ascii=False)}")
+    header, footer = "[", "\n]"
+    if layout["wrapper"]:
+        header = "{" + "".join(f"{x}," for x in before) + f"\n  {json.dumps(layout['wrapper'], ensure_ascii=False)}: ["
+        footer += "".join(f",{x}" for x in after) + "\n}"
+    lines = table.select("row_index", F.concat(F.lit(left), cells, F.lit(right)).alias("line"))
+    write_lines(lines, ["row_index"], path, ",\n  ", header, "\n  ", footer)
 
 
 def guess_column(names: list[str], *patterns: str) -> str | None:
