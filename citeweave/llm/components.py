@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges with the smallest of a node and its neighbours. These are stored, as Spark can't split a join with an
+    aggregate on one side of it, and a node may have very many edges."""
+    return edges.join(stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least"), "a")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -24,9 +26,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now, seen = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(_least(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = large.filter("a <> b")
-        small = large.join(_least(large), "a")
+        large = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = stored(large.filter("a <> b"), "large")
+        small = _with_least(large)
         now = stored(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
         found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if found == seen:
