@@ -12,11 +12,13 @@ pages make repeated records, with equal ids. An empty table gives no rows. Other
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html as entities
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -110,19 +112,46 @@ def write(records: DataFrame, path: str) -> None:
     records.select(F.decode("record", "UTF-8")).write.option("lineSep", "\r\n").text(path)
 
 
+_START, _LENGTH = re.compile(rb"^WARC/\d", re.M), re.compile(r"\d+")
+
+
+def records_of(data: bytes) -> Iterator[tuple]:
+    """(record_type, record_id, refers_to, target_uri, payload) of a file's records, in order.
+
+    Names of fields may have any case; of a field that comes twice the first counts, one that is missing is null. Bytes
+    that aren't UTF-8 are replaced in a header. What stands before a record's first line is passed over. Where a length is
+    missing or no number, and where no record follows on the block, the payload ends before the next line that begins as a
+    record, or with the file; a block cut off by the end is as long as it is. A header without an end is no record."""
+    data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data  # records may be members of their own
+    found = _START.search(data)
+    while found:
+        stop = data.find(b"\r\n\r\n", found.start())
+        if stop < 0:
+            return
+        head: dict[str, str] = {}
+        for line in data[found.start() : stop].decode("utf-8", "replace").split("\r\n")[1:]:
+            name, colon, value = line.partition(":")
+            if colon:
+                head.setdefault(name.strip().lower(), value.strip())
+        begin, size = stop + 4, head.get("content-length", "")
+        end = begin + int(size) if _LENGTH.fullmatch(size) else len(data) + 1
+        if end < len(data) and not _START.match(data, end + len(data[end : end + 4]) - len(data[end : end + 4].lstrip(b"\r\n"))) and data[end:].strip():
+            end = len(data) + 1  # the length is wrong
+        found = _START.search(data, min(end, len(data)) if end <= len(data) else begin)
+        if end > len(data):
+            end = found.start() if found else len(data)
+            end -= 4 if data[begin:end].endswith(b"\r\n\r\n") else 0
+        yield head.get("warc-type"), head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri"), data[begin:end]
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: record_type, record_id, refers_to, target_uri and payload (binary). A file is read by one task."""
+    """Records of WARC files: record_type, record_id, refers_to, target_uri and payload (binary), see `records_of`. A file
+    is read by one task, so files should be cut at about a GB, as is usual."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content").to_pylist():
-                rows, at = [], 0
-                while (stop := data.find(b"\r\n\r\n", at)) >= 0:
-                    head = dict(x.split(": ", 1) for x in data[at:stop].decode().split("\r\n")[1:] if ": " in x)
-                    size = int(head["Content-Length"])
-                    rows.append((head["WARC-Type"], head["WARC-Record-ID"], head.get("WARC-Refers-To"), head.get("WARC-Target-URI"), data[stop + 4 : stop + 4 + size]))
-                    at = stop + 4 + size + 4
-                if rows:
+                for rows in iter(lambda found=records_of(data): list(islice(found, 256)), []):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.string()] * 4 + [pa.binary()])], names=["record_type", "record_id", "refers_to", "target_uri", "payload"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "record_type string, record_id string, refers_to string, target_uri string, payload binary")
