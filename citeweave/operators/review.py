@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,8 +101,8 @@ def approval_counts(facts: DataFrame, rejected: DataFrame, profile: T.ScriptProf
 
 def approved(facts: DataFrame, rejected: DataFrame, profile: T.ScriptProfile = T.LATIN, skip_identical: bool = True) -> DataFrame:
     """The rows that aren't rejected by place (row_index, start, end, original); nor, with skip_identical, by their text."""
-    keys = ["row_index", "start", "end", "original"]
-    out = facts.join(rejected.select(*keys).distinct(), keys, "left_anti")
+    places = rejected.select(*(F.col(c).alias(f"_{c}") for c in REJECTED)).distinct()
+    out = facts.join(places, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in REJECTED)), "left_anti")
     if skip_identical:
         texts = rejected.select(T.normalized(F.col("original"), profile).alias("_norm")).distinct()
         out = out.withColumn("_norm", T.normalized(F.col("original"), profile)).join(texts, "_norm", "left_anti").drop("_norm")
@@ -188,3 +190,21 @@ def write_json_document(facts: DataFrame, path: str, generated_at: str, meta: di
     summary = (meta or {}) | json.loads(lines.filter("part = 0").first().line)
     head = f'{{"generatedAt": {json.dumps(generated_at)}, "summary": {json.dumps(summary, ensure_ascii=False)}, "rows": ['
     write_lines(lines.filter("part = 1"), ["r", "s"], path, ",\n", head, "\n", "\n]}")
+
+
+def write_approved(facts: DataFrame, rejected: DataFrame, path: str, form: str, generated_at: str = "", meta: dict | None = None, columns: list[str] = REPORT, profile: T.ScriptProfile = T.LATIN, skip_identical: bool = True) -> int:
+    """The approved rows as one csv, json or html file; returns how many. Where nothing is approved it is a ValueError, and
+    a file that stands there stays as it was. Summaries are those of the approved rows."""
+    good = approved(facts, rejected, profile, skip_identical)
+    n = good.count()
+    if not n:
+        raise ValueError("nothing is approved")
+    if form == "json":
+        write_json_document(good, path, generated_at, meta, columns)
+    elif form == "csv":
+        write_document(csv_report(good, columns), path, "\r\n")
+    elif form == "html":
+        write_document(html_report(good, columns), path)
+    else:
+        raise ValueError(f"no report format {form}")
+    return n

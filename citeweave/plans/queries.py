@@ -601,6 +601,14 @@ def csv_cells(spark, sf):
     return review.csv_lines(table(spark, sf, "documents"), ["doc_id", "lang", "text"])
 
 
+@query(f"""WITH {FACTS}, r AS (SELECT * FROM facts WHERE length(original) % 3 = 0), good AS (SELECT * FROM facts WHERE {NORM.format('original')} NOT IN (SELECT {NORM.format('original')} FROM r))
+SELECT 1 AS part, row_index AS r, start AS s, {CELL.format('original')} || ',' || {CELL.format('(confidence::VARCHAR)')} AS line FROM good UNION ALL SELECT 0, NULL, NULL, chr(65279) || '"original","confidence"'""")
+def approved_csv(spark, sf):
+    """The lines of the CSV export: header, then the rows that aren't rejected by place or by their text."""
+    facts = _sentence_facts(spark, sf)
+    return review.csv_report(review.approved(facts, facts.filter(F.length("original") % 3 == 0)), ["original", "confidence"])
+
+
 @query(f"WITH {FACTS}, c AS (SELECT chapter, count(*) AS n, count(DISTINCT row_index) AS docs FROM facts GROUP BY chapter) SELECT chapter, n, docs, rank() OVER (ORDER BY n DESC, chapter) AS place FROM c")
 def chapter_report(spark, sf):
     c = _sentence_facts(spark, sf).groupBy("chapter").agg(F.count("*").alias("n"), F.countDistinct("row_index").alias("docs"))

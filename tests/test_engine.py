@@ -201,6 +201,28 @@ def test_documents_of_reports(spark, tmp_path):
     assert got["generatedAt"].startswith("2026") and got["summary"]["source"] == "s" and got["summary"]["replacements"] == 2 and got["rows"] == [{"original": "a"}, {"original": '"'}]
 
 
+def test_approved_exports(spark, tmp_path):
+    import json
+
+    rows = [(1, 0, 1, "a", 90), (1, 5, 6, "b", 70), (2, 0, 1, "B", 80), (3, 0, 1, None, 60)]
+    f = spark.createDataFrame(rows, "row_index int, start int, end int, original string, confidence int").withColumns({"verse_count": F.lit(1), "ambiguous": F.lit(False)})
+    no, path = f.filter("original = 'b'"), str(tmp_path / "out")
+    assert review.write_approved(f, no, path, "csv", columns=["original"]) == 2
+    assert open(path, "rb").read().decode() == '\ufeff"original"\r\n"a"\r\n""'
+    assert review.write_approved(f, no, path, "csv", columns=["original"], skip_identical=False) == 3
+    assert review.write_approved(f, no, path, "json", "2026", {"table": "t"}, ["confidence"]) == 2
+    got = json.load(open(path))
+    assert got["rows"] == [{"confidence": 90}, {"confidence": 60}] and got["summary"]["replacements"] == 2 and got["summary"]["table"] == "t"
+    assert review.write_approved(f, no, path, "html", columns=["original"]) == 2
+    page = open(path).read()
+    assert page.startswith("<!DOCTYPE html>") and page.count("<tr>") == 3 and page.endswith("</html>")
+    with pytest.raises(ValueError):
+        review.write_approved(f, f, path, "csv", columns=["original"], skip_identical=False)
+    with pytest.raises(ValueError):
+        review.write_approved(f, no, path, "xml")
+    assert open(path).read() == page
+
+
 def test_reports(spark, tmp_path):
     f = spark.createDataFrame([(2, 0, "a<b", 90), (1, 5, "=x", 70), (1, 0, None, 80)], "row_index int, start int, original string, confidence int").withColumns({"verse_count": F.lit(1), "ambiguous": F.lit(False)})
     review.write_report(review.csv_report(f, ["original", "confidence"]), str(tmp_path / "c"), "\r\n")
