@@ -7,7 +7,7 @@ read whole by every step below.
 * Counts of what stands beside each subword put the subwords into classes, those that begin a word apart from the others.
   Counts of the class behind each subword give its features and the logits that the model starts from.
 * The attention model sees the subword ids up to a place and gives the class of the next subword. It is trained on every
-  STRIDE-th window of every training text, in numpy: texts are dealt to groups by a hash of what they hold, each group trains a copy
+  window of every training text, so on every place once, in numpy: texts are dealt to groups by a hash of what they hold, each group trains a copy
   in the order of that hash, and the copies are averaged by their numbers of subwords, in rounds over different texts. So
   the result doesn't depend on how Spark splits the table. A group has about GROUP subwords at any size of the input.
 * A word is scored as the class of its first subword, by the model, times its share among the known words of that class
@@ -43,8 +43,6 @@ from .pieces import MODEL, Characters, Encoder, Vocabulary, shipped
 WORDS, STARTS, INNER = 1 << 18, 48, 48
 #: Subwords of a training group, rounds, windows of a training step and of a scoring step.
 GROUP, ROUNDS, STEP, BATCH = 4_000_000, 2, 64, 128
-#: One of so many windows of each training text teaches the attention model; what is counted is counted in all of every text.
-STRIDE = 4
 RATE = 0.006
 #: Buckets of the subwords beside a subword; where those stand, with the group they are counted in; features of a subword.
 NEAR, BESIDE, FEATURES = 32, ((1, 0), (-1, 1), (9, 2), (-9, 2)), 24
@@ -295,12 +293,7 @@ def _trained(alphabet: Alphabet, model, class_of):
                     x, at = copy.windows(ids, edges)
                     y = np.full(len(x) * HALF, -1)
                     y[at] = class_of.value[ids]
-                    # the windows of each text that teach; which is first follows from the text, so that short ones do as well
-                    many = -(-np.diff(edges) // HALF)
-                    turn = np.add.reduceat(ids, edges[:-1]) % np.minimum(STRIDE, many)
-                    spot = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
-                    some = (spot - np.repeat(turn, many)) % STRIDE == 0
-                    x, y = x[some], y.reshape(-1, HALF)[some]
+                    y = y.reshape(-1, HALF)
                     if waiting:
                         a, b = waiting.pop()
                         x, y = np.concatenate([a, x]), np.concatenate([b.reshape(-1, HALF), y])
