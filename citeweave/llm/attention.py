@@ -27,13 +27,16 @@ class Attention:
         m, self.classes = features.shape[1], logits.shape[1]
         self.start, self.void = len(features) - 2, len(features) - 1
         self.p = {"e": near(m, width), "at": near(SPAN, width), "q": near(width, width), "k": near(width, width), "v": near(width, width), "o": near(width, self.classes) * 0.1, "b": np.zeros(self.classes, np.float32)}
+        self.load(self.vector())
+        self.top = float(self.last.max()) if self.last.size else 0.0
         self.mask = (np.arange(SPAN)[None, :] <= np.arange(HALF, SPAN)[:, None]).astype(np.float32)
         self.reset()
 
     def reset(self) -> None:
         """Forget the optimiser's state."""
         self._embedded, self._some = None, {}
-        self.moments, self.step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
+        self.first, self.second, self.step = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        self.moments = dict(zip(self.p, zip(self._views(self.first).values(), self._views(self.second).values())))
 
     # --- parameters as one vector, for averaging; their number doesn't depend on the vocabulary
 
@@ -41,12 +44,19 @@ class Attention:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
     def load(self, vector: np.ndarray) -> Attention:
-        at, self._embedded = 0, None
-        for k, v in self.p.items():
-            self.p[k] = np.asarray(vector[at : at + v.size], np.float32).reshape(v.shape)
-            at += v.size
+        self.flat, self._embedded = np.array(vector, np.float32), None
+        self.p = self._views(self.flat)
         return self
 
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parameters as parts of one array."""
+        cuts = np.cumsum([v.size for v in self.p.values()])[:-1]
+        return {k: x.reshape(v.shape) for (k, v), x in zip(self.p.items(), np.split(flat, cuts))}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.load(self.vector()).reset()
+
     # --- windows
 
     def windows(self, ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,23 +77,20 @@ class Attention:
         x = np.concatenate([halves[left], halves[left + 1]], axis=1) if total else np.zeros((0, SPAN), np.int32)
         return x, np.repeat((np.cumsum(n) - n) * HALF, size) + spot
 
-    def _attend(self, x: np.ndarray, h: np.ndarray, spots: np.ndarray | None = None):
-        """What each place of the second halves finds; with spots (n, any), only those of each window."""
+    def _attend(self, x: np.ndarray, h: np.ndarray, spots: np.ndarray) -> np.ndarray:
+        """What the places spots (n, any) of the second halves find."""
         p, scale = self.p, np.float32(self.width**-0.5)
         h += p["at"]
-        late = h[:, HALF:] if spots is None else h[np.arange(len(x))[:, None], HALF + spots]
+        late = h[np.arange(len(x))[:, None], HALF + spots]
         q, k, v = (late @ p["q"]) * scale, h @ p["k"], h @ p["v"]
         a = q @ k.transpose(0, 2, 1)
         np.minimum(a, TOP, out=a)
         np.exp(a, out=a)
-        a *= self.mask if spots is None else self.mask[spots]
+        a *= self.mask[spots]
         early = np.flatnonzero(x[:, 0] == self.void)
         a[early] *= (x[early] != self.void)[:, None, :]
         total = a.sum(axis=2, keepdims=True)
-        if spots is not None:
-            return (a @ v) / total
-        a /= total
-        return h, q, k, v, a, a @ v
+        return (a @ v) / total
 
     def _logits(self, last: np.ndarray, c: np.ndarray, classes: int) -> np.ndarray:
         z = c @ self.p["o"][:, :classes]
@@ -111,36 +118,74 @@ class Attention:
 
     def train(self, x: np.ndarray, targets: np.ndarray, rate: float = 0.01) -> float:
         """One step of Adam on these windows; targets: classes of the n * HALF places (-1: none). The loss before it."""
-        p, scale, n = self.p, np.float32(self.width**-0.5), len(x)
-        f = self.features[x]
-        h, q, k, v, a, c = self._attend(x, f @ p["e"])
-        some = np.flatnonzero(targets >= 0)
-        z = self._logits(x[:, HALF:].ravel()[some], c.reshape(-1, self.width)[some], self.classes)
+        p, scale, n, w = self.p, np.float32(self.width**-0.5), len(x), self.width
+        largest = lambda t: max(float(t.max()), -float(t.min()))
+        # all places by one product each; a column of ones carries sums along
+        f = self.features.take(x.ravel(), axis=0)
+        h = np.ones((n, SPAN, w + 1), np.float32)
+        np.add((f @ p["e"]).reshape(n, SPAN, w), p["at"], out=h[:, :, :w])
+        by = np.zeros((w + 1, 2 * w + 1), np.float32)
+        by[:w, :w], by[:w, w : 2 * w], by[w, 2 * w] = p["k"], p["v"], 1
+        kv = (h.reshape(-1, w + 1) @ by).reshape(n, SPAN, 2 * w + 1)
+        k, v = kv[:, :, :w], kv[:, :, w:]
+        late = np.ascontiguousarray(h[:, HALF:, :w]).reshape(-1, w)
+        q = (late @ (p["q"] * scale)).reshape(n, HALF, w)
+        # weights are not divided by their sums; what they are multiplied with is
+        a = q @ k.transpose(0, 2, 1)
+        if largest(q) * largest(k) * w > TOP:
+            np.minimum(a, TOP, out=a)
+        np.exp(a, out=a)
+        a *= self.mask
+        early = np.flatnonzero(x[:, 0] == self.void)
+        if len(early):
+            a[early] *= (x[early] != self.void)[:, None, :]
+        c = a @ v
+        total = c[:, :, w:].copy()
+        c /= total
+        last, seen = x[:, HALF:].ravel(), c.reshape(-1, w + 1)
+        whole = targets.min() >= 0
+        if not whole:
+            some = np.flatnonzero(targets >= 0)
+            last, seen, targets = last[some], seen[some], targets[some]
+        o = self.flat[-(w + 1) * self.classes :].reshape(w + 1, self.classes)  # with b as its last row
+        z = self.last.take(last, axis=0)
+        z += seen @ o
+        if self.top + largest(seen) * float(np.abs(o).sum(axis=0).max()) > TOP:
+            np.minimum(z, TOP, out=z)
+        own = np.arange(len(z)), targets
+        hit = z[own]
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        own = np.arange(len(some)), targets[some]
-        loss = float(-np.log(z[own] + 1e-30).mean())
-        z[own] -= 1
-        z /= np.float32(len(some))
-        g = {"o": c.reshape(-1, self.width)[some].T @ z, "b": z.sum(axis=0)}
-        dc = np.zeros((n * HALF, self.width), np.float32)
-        dc[some] = z @ p["o"].T
-        dc = dc.reshape(n, HALF, -1)
+        back = np.ones((self.classes, w + 1), np.float32)
+        back[:, :w] = p["o"].T
+        d = z @ back
+        sums = d[:, w].copy()
+        loss = float((np.log(sums) - hit).mean())
+        z[own] -= sums
+        d[:, :w] -= sums[:, None] * back[:, :w].take(targets, axis=0)
+        share = (1 / (sums * np.float32(len(z))))[:, None]
+        g_o = (seen * share).T @ z
+        d *= share
+        if whole:
+            dc = d.reshape(n, HALF, w + 1)
+        else:
+            dc = np.zeros((n * HALF, w + 1), np.float32)
+            dc[some] = d
+            dc = dc.reshape(n, HALF, w + 1)
+        dc /= total
+        dc[:, :, w] = -np.einsum("nij,nij->ni", dc[:, :, :w], c[:, :, :w])
         da = dc @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dc
-        da -= (dc * c).sum(axis=2, keepdims=True)
         da *= a
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q  # q holds the scale
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g["q"], g["k"], g["v"] = flat(h[:, HALF:]).T @ flat(dq) * scale, flat(h).T @ flat(dk), flat(h).T @ flat(dv)
-        dh = dk @ p["k"].T + dv @ p["v"].T
-        dh[:, HALF:] += dq @ p["q"].T * scale
-        g["at"], g["e"] = dh.sum(axis=0), flat(f).T @ flat(dh)
+        dkv = np.empty((n, SPAN, 2 * w), np.float32)
+        dkv[:, :, w:] = a.transpose(0, 2, 1) @ dc[:, :, :w]
+        dkv[:, :, :w] = da.transpose(0, 2, 1) @ q  # q holds the scale
+        dq, dkv = (da @ k).reshape(-1, w), dkv.reshape(-1, 2 * w)
+        g_kv = h.reshape(-1, w + 1).T @ dkv
+        dh = (dkv @ by[:w, : 2 * w].T).reshape(n, SPAN, w)
+        dh[:, HALF:] += (dq @ (p["q"].T * scale)).reshape(n, HALF, w)
+        g = np.concatenate([x.ravel() for x in (f.T @ dh.reshape(-1, w), dh.sum(axis=0), (late.T @ dq) * scale, g_kv[:w, :w], g_kv[:w, w:], g_o)])
         self.step += 1
-        for name, d in g.items():
-            m, s = self.moments[name]
-            m += 0.1 * (d - m)
-            s += 0.01 * (d * d - s)
-            p[name] = p[name] - np.float32(rate) * (m / (1 - 0.9**self.step)) / (np.sqrt(s / (1 - 0.99**self.step)) + 1e-6)
+        self.first += 0.1 * (g - self.first)
+        self.second += 0.01 * (g * g - self.second)
+        self.flat -= np.float32(rate) * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-6)
         self._embedded = None
         return loss

@@ -1,12 +1,13 @@
 """Every place of every training text teaches the attention model, once."""
 
+import pickle
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 
 from citeweave.llm import lm
-from citeweave.llm.attention import Attention
+from citeweave.llm.attention import HALF, Attention
 
 
 def test_every_place_teaches():
@@ -20,3 +21,19 @@ def test_every_place_teaches():
     work = lm._trained(alphabet, SimpleNamespace(value=(model, 0.01)), SimpleNamespace(value=np.arange(size)))
     work(iter([batch]), own)
     assert own[-1] == sum(len(t) for t in texts)
+
+
+def test_step_of_a_sent_model():
+    """A model learns alike before and after it is sent to a task, also where logits are held under the limit."""
+    rng = np.random.default_rng(4)
+    for height in (1, 80):
+        m = Attention(np.concatenate([rng.standard_normal((31, 5)), np.zeros((1, 5))]), height * rng.standard_normal((31, 7)), 6)
+        sent = pickle.loads(pickle.dumps(m))
+        ids = rng.integers(0, 30, 200).astype(np.int32)
+        x, at = m.windows(ids, np.array([0, 30, 200]))
+        y = np.full(len(x) * HALF, -1)
+        y[at] = rng.integers(0, 7, 200)
+        before = m.vector()
+        losses = [[a.train(x, y, 0.01) for _ in range(5)] for a in (m, sent)]
+        assert losses[0] == losses[1] and np.isfinite(losses[0]).all()
+        assert (m.vector() == sent.vector()).all() and (m.vector() != before).any()
